@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontaminate
+from .language_id import op9_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .token_files import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op5_decontaminate": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
 }
