@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .language_id import op9_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .simhash import op1_simhash
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op5_decontaminate": op5_decontaminate,
+    "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
