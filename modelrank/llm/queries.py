@@ -7,11 +7,13 @@ from .decontaminate import OP5_SQL, op5_decontaminate
 from .language_id import op9_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .simhash import op1_simhash
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_files import op2_token_files
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_substring_dedup": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
 }
