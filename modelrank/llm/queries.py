@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .ann import op3_multi_index
 from .bpe import op8_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .language_id import op9_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .pii import op6_pii
+from .quality import op7_quality
 from .simhash import op1_simhash
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_files import op2_token_files
@@ -13,8 +16,11 @@ from .token_files import op2_token_files
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
+    "op3_multi_index": op3_multi_index,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
