@@ -99,6 +99,14 @@ def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.select("u", "v").unionAll(starred).distinct()
 
 
+def _components(docs: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of docs (__key, fp)."""
+    fps = stored(docs.groupBy("fp").agg(F.min("__key").alias("first")), "distinct-fingerprints")
+    roots = connected_components(fingerprint_links(fps.select("fp")))
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
     """One row per document: the key, fp (signed long) and component_id, the
     least key among all documents reachable over links of two bits or fewer.
@@ -109,12 +117,23 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     """
     held = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__words"))
     docs = stored(fingerprints(held, "__words", ("__key",), size), "fingerprints")
-    fps = stored(docs.groupBy("fp").agg(F.min("__key").alias("first")), "distinct-fingerprints")
-    roots = connected_components(fingerprint_links(fps.select("fp")))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return docs.join(of, "fp").select(F.col("__key").alias(key), "fp", "component_id")
+    return docs.join(_components(docs).drop("root"), "fp").select(F.col("__key").alias(key), "fp", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
+    """One row of each component with all columns of ``df``: the one whose key
+    is the component's id, or any one where no row of it has a key."""
+    fp = "__fp"
+    full = df.select("*", F.col(f"`{text}`").alias("__words"))
+    full = stored(fingerprints(full, "__words", tuple(df.columns), size).withColumnRenamed("fp", fp), "fingerprinted")
+    docs = full.select(F.col(f"`{key}`").alias("__key"), F.col(fp).alias("fp"))
+    chosen = docs.join(_components(docs), "fp").filter(F.col("__key").eqNullSafe(F.col("component_id")))
+    chosen = stored(chosen.groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("__key")).select("fp", "__key"), "chosen")
+    same = (full[fp] == chosen["fp"]) & full[key].eqNullSafe(chosen["__key"])
+    out = full.join(chosen, same, "left_semi")
+    if docs.join(chosen, (docs["fp"] == chosen["fp"]) & docs["__key"].eqNullSafe(chosen["__key"]), "left_semi").groupBy("fp", "__key").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates([fp, key])  # rows that repeat key and text
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
