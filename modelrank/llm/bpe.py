@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, open_file, put_file, scratch_path, text_blocks
+from .pieces import BARE, UNCOMMON
 
 LEXICON_WORDS = 100_000
-#: Words and bytes of ids that a worker remembers before it starts anew.
-MEMO = 300_000
+#: Stretches, and words, whose ids a worker remembers before it forgets those met only once.
+MEMO = 400_000
 NONE = 1 << 60
 #: Fixed value: the words of the tokenizer's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -119,15 +121,23 @@ def lowered(text: str) -> str:
 
 
 def cut(text: str, special: re.Pattern) -> list[str]:
-    """Words of a text; a special token's string stands for itself, marked by a leading blank."""
-    if not special.search(text):
-        return WORDS.findall(lowered(text))
+    """Stretches of a text whose words don't depend on what stands around: those
+    between blanks, or words where a character is uncommon.  A special token's
+    string stands for itself, marked by a leading blank."""
     out: list[str] = []
-    for i, part in enumerate(special.split(text)):
-        out += [" " + part] if i % 2 else WORDS.findall(lowered(part))
+    for i, part in enumerate(special.split(text) if special.search(text) else [text]):
+        if i % 2:
+            out.append(" " + part)
+        else:
+            part = lowered(part)
+            out += WORDS.findall(part) if UNCOMMON.search(part) else part.split()
     return out
 
 
+def words_in(stretch: str) -> list[str]:
+    return WORDS.findall(stretch) if UNCOMMON.search(stretch) else BARE.findall(stretch)
+
+
 def special_pattern(special: dict[str, int]) -> re.Pattern:
     return re.compile("(" + ("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)") + ")")
 
@@ -228,25 +238,40 @@ class Coder:
     def __init__(self, path: str, uri: str):
         self.merger, self.lexicon = merger(path), lexicon(uri)
         self.special = special_pattern(self.merger.special)
+        self.words: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w[0] != " "]
-        self.memo.update((w, np.array([self.merger.special[w[1:]]], "<i4").tobytes()) for w in words if w[0] == " ")
-        coded = [w.encode() for w in plain]
+    def _look_up(self, words: list[str]) -> None:
+        coded = [w.encode() for w in words]
         held, offsets = self.lexicon.ids.astype("<i4"), self.lexicon.offsets
-        for word, raw, place in zip(plain, coded, self.lexicon.places(coded).tolist()):
-            ids = held[offsets[place] : offsets[place + 1]] if place >= 0 else np.array(self.merger.merge(raw), "<i4")
-            self.memo[word] = ids.tobytes()
+        for word, raw, place in zip(words, coded, self.lexicon.places(coded).tolist()):
+            if place >= 0:
+                self.words[word] = held[offsets[place] : offsets[place + 1]].tobytes()
+            else:
+                ids = self.merger.merge(raw)
+                self.words[word] = pack(f"<{len(ids)}i", *ids)
+
+    def _learn(self, stretches: list[str]) -> None:
+        plain = [(s, words_in(s)) for s in stretches if s[0] != " "]
+        self.memo.update((s, pack("<i", self.merger.special[s[1:]])) for s in stretches if s[0] == " ")
+        if len(self.words) > MEMO:
+            self.words = {}
+        self._look_up(list({w for _, held in plain for w in held if w not in self.words}))
+        words = self.words
+        self.memo.update((s, words[held[0]] if len(held) == 1 else b"".join([words[w] for w in held])) for s, held in plain)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         docs = [cut(t or "", self.special) for t in texts]
-        distinct = set().union(*docs)
+        distinct: set[str] = set().union(*docs)
         if len(self.memo) + len(distinct) > MEMO:
-            self.memo = {}
-        self.learn([w for w in distinct if w not in self.memo])
+            self.memo = {s: self.memo[s] for s in self.again if s in self.memo} if len(self.again) < MEMO // 2 else {}
+            self.again = set()
+        new = [s for s in distinct if s not in self.memo]
+        self.again.update(distinct.difference(new))
+        self._learn(new)
         get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in docs]
+        return [b"".join(map(get, held)) for held in docs]
 
 
 @lru_cache(maxsize=2)
@@ -263,8 +288,12 @@ def word_counts(df: DataFrame, text: str, tokenizer: str) -> DataFrame:
             seen: Counter = Counter()
             for t in batch.column("__text").to_pylist():
                 seen.update(cut(t or "", special))
-            seen = {w: n for w, n in seen.items() if w[0] != " "}
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            words: Counter = Counter()
+            for stretch, n in seen.items():
+                if stretch[0] != " ":
+                    for w in words_in(stretch):
+                        words[w] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     return df.select(F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
