@@ -59,13 +59,13 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(grams)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = 3) -> DataFrame:
-    """The ``keep`` columns and fp, the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = 3, name: str = "fp") -> DataFrame:
+    """The ``keep`` columns and the fingerprint as a signed long."""
 
     def make():
         return lambda texts: [pa.array(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))]
 
-    return map_text(df, text, list(keep), "fp long", make)
+    return map_text(df, text, list(keep), f"{name} long", make)
 
 
 def shared_bytes(a: str, b: str) -> Column:
@@ -125,13 +125,14 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id",
     is the component's id, or any one where no row of it has a key."""
     fp = "__fp"
     full = df.select("*", F.col(f"`{text}`").alias("__words"))
-    full = stored(fingerprints(full, "__words", tuple(df.columns), size).withColumnRenamed("fp", fp), "fingerprinted")
+    full = stored(fingerprints(full, "__words", tuple(df.columns), size, fp), "fingerprinted")
     docs = full.select(F.col(f"`{key}`").alias("__key"), F.col(fp).alias("fp"))
+    full = full.alias("full")
     chosen = docs.join(_components(docs), "fp").filter(F.col("__key").eqNullSafe(F.col("component_id")))
-    chosen = stored(chosen.groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("__key")).select("fp", "__key"), "chosen")
-    same = (full[fp] == chosen["fp"]) & full[key].eqNullSafe(chosen["__key"])
-    out = full.join(chosen, same, "left_semi")
-    if docs.join(chosen, (docs["fp"] == chosen["fp"]) & docs["__key"].eqNullSafe(chosen["__key"]), "left_semi").groupBy("fp", "__key").count().filter("count > 1").limit(1).count():
+    chosen = stored(chosen.groupBy("root").agg(F.min("fp").alias("c_fp"), F.first("component_id").alias("c_key")).select("c_fp", "c_key"), "chosen")
+    out = full.join(chosen, (F.col(f"full.{fp}") == F.col("c_fp")) & F.col(f"full.`{key}`").eqNullSafe(F.col("c_key")), "left_semi")
+    held = docs.join(chosen, (F.col("fp") == F.col("c_fp")) & F.col("__key").eqNullSafe(F.col("c_key")), "left_semi")
+    if held.groupBy("fp", "__key").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates([fp, key])  # rows that repeat key and text
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
