@@ -1,14 +1,17 @@
 """The nearest training row of every test row, for many models at once.
 
 Rows are packed in blocks of a bounded number of rows, kept apart by model,
-and every test block meets every training block of its model.  A pair of
-blocks is one matrix product; what leaves it is one row for each test row, and
-a minimum over training blocks follows.  No block grows with the data, and
-neither side is broadcast beyond what Spark finds small enough.
+and every test block meets every training block of its model.  The pairs are
+dealt over a square grid: a test block goes to every cell of its row of the
+grid, a training block to every cell of its column, so a cell holds a share of
+both sides, each block is copied as often as the root of the cores, and one
+model fills them all.  A pair of blocks is one matrix product; what leaves it
+is one row for each test row, and a minimum over training blocks follows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,8 +88,12 @@ def nearest(test: DataFrame, train: DataFrame, metric: str = EUCLIDEAN, rows: in
     if metric not in (EUCLIDEAN, COSINE):
         raise ValueError(f"no such classifier: {metric}")
     cosine = metric == COSINE
-    a = _blocks(_rows(test), rows).select("model", *[F.col(c).alias(f"t_{c}") for c in ("readers", "ids", "labels", "vectors", "width")])
-    pairs = a.join(_blocks(_rows(train), rows), "model")
+    side = max(1, math.isqrt(test.sparkSession.sparkContext.defaultParallelism))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    place = F.pmod(F.xxhash64("readers", "ids"), F.lit(side)).cast("int")
+    a = _blocks(_rows(test), rows).select("model", place.alias("i"), every.alias("j"), *[F.col(c).alias(f"t_{c}") for c in ("readers", "ids", "labels", "vectors", "width")])
+    b = _blocks(_rows(train), rows).select("*", place.alias("j"), every.alias("i"))
+    pairs = a.join(b, ["model", "i", "j"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="modelrank-rounds-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, one of this process, if all of Spark runs in it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else f"file://{os.path.join(tempfile.gettempdir(), 'modelrank-rounds')}"
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{_own_folder()}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
