@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cosine through an inverted multi-index.
 
 Unit vectors are cut in two halves, and each half is quantised on its own
-(k-means over at most ``MAX_FIT`` rows that a hash picks; every row is
-indexed).  A row's cell is its pair of centroids.  For a query, pairs of
+(k-means over at most ``MAX_FIT`` rows, and ``MAX_FIT_VALUES`` values, that a
+hash picks; every row is indexed).  A row's cell is its pair of centroids.  For a query, pairs of
 centroids come off a heap in order of summed distance until the cells seen
 hold ``share`` of all rows; the entries of those cells are ranked again by
 their exact cosine.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, hash_sample, stored
 
-MAX_FIT = 20_000
+MAX_FIT, MAX_FIT_VALUES = 20_000, 2_000_000
 MAX_CENTROIDS = 256
 QUERY_BLOCK = 4096
 #: Rows of a range of the index.
@@ -146,7 +146,9 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    fit = unit(np.array([r.vec for r in sorted(hash_sample(rows, "vec_id", MAX_FIT).collect())] or [rows.first().vec]))
+    first = rows.first().vec
+    sample = hash_sample(rows, "vec_id", min(MAX_FIT, max(256, MAX_FIT_VALUES // len(first))))
+    fit = unit(np.array([r.vec for r in sorted(sample.collect())] or [first]))
     centroids = [kmeans(h, max(1, min(MAX_CENTROIDS, int((n / 50) ** 0.5))), seed=s) for s, h in enumerate(halves(fit))]
     low = len(centroids[1])
 

@@ -9,7 +9,6 @@ locally.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,24 +18,18 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..sources import scratch
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's checkout."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
-    env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    """Let Python workers import this package, one library thread in each."""
+    scratch.importable(spark)
+    spark.sparkContext.environment.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
     importable(spark)
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'modelrank-scratch')}"
+    return scratch.root(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
