@@ -304,7 +304,7 @@ def label_closest_vehicle(spark, d):
 
 @query(f"WITH {ITEMS_SQL} SELECT l_orderkey, len(kinds) - 3 AS count_label, len([x FOR x IN kinds IF x = 2]) AS kind_label FROM items")
 def label_counts(spark, d):
-    return items(spark, d).select("l_orderkey", L.object_count(F.col("kinds")).alias("count_label"), L.count_of_kind(F.col("kinds"), 2).alias("kind_label"))
+    return items(spark, d).select("l_orderkey", L.object_count(F.col("kinds")).cast("long").alias("count_label"), L.count_of_kind(F.col("kinds"), 2).cast("long").alias("kind_label"))
 
 
 @query("SELECT p_partkey, CAST(floor(p_size / 2.0) AS INTEGER) AS location, CAST(floor(p_size / 2.5) AS INTEGER) AS orientation FROM part")
@@ -372,7 +372,7 @@ def _nearest_query(models: list[str], metric: str) -> Callable:
 for _name, _metric in (("nn_euclid", neighbours.EUCLIDEAN), ("nn_cosine", neighbours.COSINE)):
     _run = _nearest_query(["prefix16", "prefix64", "stride4"], _metric)
     _run.__name__ = _name
-    query(f"WITH {_nearest_sql(['prefix16', 'prefix64', 'stride4'], _name == 'nn_cosine')} SELECT model, test_idx, test_label, train_idx, train_label FROM nearest")(_run)
+    query(f"WITH {_nearest_sql(['prefix16', 'prefix64', 'stride4'], _name == 'nn_cosine')} SELECT model, test_idx, CAST(test_label AS BIGINT) AS test_label, train_idx, CAST(train_label AS BIGINT) AS train_label FROM nearest")(_run)
 
 
 @query(f"WITH {_nearest_sql(['prefix32'])} SELECT model, test_idx, train_idx FROM nearest")
@@ -476,7 +476,7 @@ def overlay_apply(spark, d):
     return overlay.apply_overlay(*_overlay_tables(spark, d))
 
 
-@query(f"WITH {CHANGES_SQL} SELECT base_idx - 10 AS base_idx, seq, label FROM changes WHERE base_idx >= 10 AND base_idx < 60")
+@query(f"WITH {CHANGES_SQL} SELECT base_idx - 10 AS base_idx, seq, CAST(label AS BIGINT) AS label FROM changes WHERE base_idx >= 10 AND base_idx < 60")
 def overlay_in_slice(spark, d):
     return overlay.slice_edits(_overlay_tables(spark, d)[1], 10, 60).select("base_idx", "seq", "label")
 
