@@ -90,6 +90,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _in_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern finds them: from each sign back over the longest run before it, not past the find before."""
     last = 0
@@ -107,7 +112,7 @@ def plain(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     data = text.encode()
     if len(data.translate(None, DIGITS)) < len(data):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split(".") if len(x.lstrip("0")) <= 3) and all(len(x.lstrip("0")) <= 3 for x in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(_in_byte(x) for x in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")
