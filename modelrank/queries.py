@@ -623,16 +623,17 @@ def nearest_tasks(spark, d):
 
 # ------------------------------------------------------------------- strategies
 
-RECORDS_SQL = """records AS (SELECT 'm' || CAST(l_partkey % 40 AS VARCHAR) AS model, 't' || CAST(l_suppkey % 6 AS VARCHAR) AS task, round(avg(l_discount + l_tax), 6) AS accuracy, round(sum(l_extendedprice) / 1000, 3) AS elapsed_time FROM lineitem GROUP BY 1, 2),
-proxies AS (SELECT 'm' || CAST(l_partkey % 40 AS VARCHAR) AS model, 't' || CAST(l_suppkey % 6 AS VARCHAR) AS task, round(avg(l_quantity) / 50, 6) AS err FROM lineitem GROUP BY 1, 2)"""
+RECORDS_SQL = """records AS (SELECT 'm' || CAST(l_partkey % 40 AS VARCHAR) AS model, 't' || CAST(l_suppkey % 6 AS VARCHAR) AS task, CAST(sum(CAST(round((l_discount + l_tax) * 100) AS BIGINT)) AS DOUBLE) / (100.0 * count(*)) AS accuracy, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100000 AS elapsed_time FROM lineitem GROUP BY 1, 2),
+proxies AS (SELECT 'm' || CAST(l_partkey % 40 AS VARCHAR) AS model, 't' || CAST(l_suppkey % 6 AS VARCHAR) AS task, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / (50.0 * count(*)) AS err FROM lineitem GROUP BY 1, 2)"""
 
 
 def records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     li = table(spark, d, "lineitem")
     by = [F.concat(F.lit("m"), (F.col("l_partkey") % 40).cast("string")).alias("model"), F.concat(F.lit("t"), (F.col("l_suppkey") % 6).cast("string")).alias("task")]
     return (
-        li.groupBy(*by).agg(F.round(F.avg(F.col("l_discount") + F.col("l_tax")), 6).alias("accuracy"), F.round(F.sum("l_extendedprice") / 1000, 3).alias("elapsed_time")),
-        li.groupBy(*by).agg(F.round(F.avg("l_quantity") / 50, 6).alias("err")),
+        # whole numbers are summed, so the order of rows can't change a digit
+        li.groupBy(*by).agg((F.sum(F.round((F.col("l_discount") + F.col("l_tax")) * 100).cast("long")).cast("double") / (F.lit(100.0) * F.count("*"))).alias("accuracy"), (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / 100000).alias("elapsed_time")),
+        li.groupBy(*by).agg((F.sum(F.col("l_quantity").cast("long")).cast("double") / (F.lit(50.0) * F.count("*"))).alias("err")),
     )
 
 
@@ -668,12 +669,12 @@ def best_of_tasks(spark, d):
 
 @query(
     f"""WITH {RECORDS_SQL}, {META_SQL}, c AS (SELECT 'meta_learned' AS strategy, model FROM meta UNION ALL SELECT * FROM (SELECT 'proxy', model FROM proxies WHERE task = 't1' ORDER BY err, model LIMIT 5) UNION ALL SELECT DISTINCT 'enumeration', model FROM proxies)
-SELECT strategy, count(*) AS models, round(sum(elapsed_time), 2) AS finetune_time, max(accuracy) AS best_accuracy FROM c JOIN records USING (model) WHERE task = 't1' GROUP BY strategy"""
+SELECT strategy, count(*) AS models, round(sum(elapsed_time), 6) AS finetune_time, max(accuracy) AS best_accuracy FROM c JOIN records USING (model) WHERE task = 't1' GROUP BY strategy"""
 )
 def strategy_compare(spark, d):
     rec, prox = records(spark, d)
     out = strategies.compare([strategies.meta_learned(rec, prox, "t1", 3), strategies.proxy(prox, "t1", 5), strategies.enumeration(prox.select("model").distinct())], rec, "t1")
-    return out.select("strategy", "models", F.round("finetune_time", 2).alias("finetune_time"), "best_accuracy")
+    return out.select("strategy", "models", F.round("finetune_time", 6).alias("finetune_time"), "best_accuracy")
 
 
 @query(f"WITH {RECORDS_SQL} SELECT task, round(1 - (5 / 6.0) * (1 - sqrt(greatest(0, 1 - min(err) / (5 / 6.0)))), 6) AS bound FROM proxies GROUP BY task")
@@ -683,9 +684,9 @@ def accuracy_bound(spark, d):
     return strategies.accuracy_bound(prox, classes).select("task", F.round("bound", 6).alias("bound"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT task, model, round(max(accuracy) OVER (PARTITION BY task) - accuracy, 6) AS gap FROM records")
+@query(f"WITH {RECORDS_SQL} SELECT task, model, round(max(accuracy) OVER (PARTITION BY task) - accuracy, 10) AS gap FROM records")
 def gap_to_best(spark, d):
-    return strategies.gap_to_best(records(spark, d)[0]).select("task", "model", F.round("gap", 6).alias("gap"))
+    return strategies.gap_to_best(records(spark, d)[0]).select("task", "model", F.round("gap", 10).alias("gap"))
 
 
 @query(f"WITH {RECORDS_SQL} SELECT model, task, err, accuracy FROM proxies LEFT JOIN (SELECT * FROM records WHERE task <> 't2') USING (model, task)")
@@ -694,15 +695,15 @@ def proxies_with_records(spark, d):
     return strategies.with_records(prox, rec.filter("task <> 't2'"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT round(sum(elapsed_time) * 65 / count(*), 2) AS seconds FROM records")
+@query(f"WITH {RECORDS_SQL} SELECT round(sum(elapsed_time) * 65 / count(*), 6) AS seconds FROM records")
 def extrapolated_time(spark, d):
-    return strategies.extrapolated_time(records(spark, d)[0], 65).select(F.round("seconds", 2).alias("seconds"))
+    return strategies.extrapolated_time(records(spark, d)[0], 65).select(F.round("seconds", 6).alias("seconds"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT task AS strategy, round(avg(accuracy), 6) AS accuracy_mean, min(accuracy) AS accuracy_min, max(accuracy) AS accuracy_max FROM records GROUP BY task")
+@query(f"WITH {RECORDS_SQL} SELECT task AS strategy, round(avg(accuracy), 10) AS accuracy_mean, min(accuracy) AS accuracy_min, max(accuracy) AS accuracy_max FROM records GROUP BY task")
 def summary_by_strategy(spark, d):
     out = strategies.by_strategy(records(spark, d)[0].withColumnRenamed("task", "strategy"), "accuracy")
-    return out.withColumn("accuracy_mean", F.round("accuracy_mean", 6))
+    return out.withColumn("accuracy_mean", F.round("accuracy_mean", 10))
 
 
 @query(f"WITH {RECORDS_SQL} SELECT task, model, round(sum(accuracy * elapsed_time) OVER w / sum(elapsed_time) OVER w, 6) AS running FROM records WINDOW w AS (PARTITION BY task ORDER BY model ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
