@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The words of the whole corpus are counted, and the most frequent
-(``LEXICON_WORDS``) are compiled, with their token ids, into an automaton
+The words of the whole corpus are counted, and the most frequent (up to
+``LEXICON_WORDS``) are compiled, with their token ids, into an automaton
 whose states share suffixes: a word's place in order of all words falls out
 of the walk (each edge knows how many words come before those behind it), and
 that place finds its ids.  The automaton is one file in the shared folder,
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, open_file, put_file, scratch_path, text_blocks
+from .common import dropped, map_text, open_file, put_file, scratch_path, stored, text_blocks
 from .pieces import BARE, UNCOMMON
 
 LEXICON_WORDS = 100_000
@@ -299,11 +299,22 @@ def word_counts(df: DataFrame, text: str, tokenizer: str) -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, text: str, tokenizer: str, words: int = LEXICON_WORDS) -> str:
-    """The file of the ``words`` most frequent words that occur twice or more (ties: least word first)."""
-    top = word_counts(df, text, tokenizer).filter("n > 1").filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(words).collect()
+    """The file of the most frequent words that occur twice or more, up to
+    ``words`` of them: all words from some count on, by a histogram of counts
+    whose bins are a 16th of a doubling wide, so the driver never gets more."""
+    counts = word_counts(df, text, tokenizer).filter((F.col("n") > 1) & (F.length("word") <= 64))
+    counts = stored(counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "words")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r.bin):
+        total += r["count"]
+        if total > words:
+            break
+        least = r.bin
+    top = counts.filter(F.col("bin") >= least).select("word").collect() if least is not None else []
     merge = merger(tokenizer).merge
     uri = scratch_path(df.sparkSession, "lexicon") + "/words.bin"
     put_file(uri, compile_lexicon({r.word.encode(): merge(r.word.encode()) for r in top}))
+    dropped(counts)
     return uri
 
 
