@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embedders, identity
-from ..operators import halving, neighbours, overlay, ranking, similarity
+from ..operators import filters, halving, neighbours, overlay, ranking, similarity
 from ..operators.linear import EPOCHS, LEARNING_RATE, linear_probe
-from ..sources.catalog import Catalog, known_value, register_models, register_readers
+from ..sources.catalog import Catalog, register_models, register_readers
 from . import predicates
 from .lexer import StatementError
-from .nodes import Declare, Explain, Finetune, Print, Purge, Reader, Readers, Register, Select, Use
+from .nodes import Classifier, Declare, Explain, Finetune, Output, Print, Purge, Reader, Readers, Register, Select, Use
 from .parser import RESERVED, parse, statements
 
 #: An extension: (models, training readers, test readers, **parameters) to rows of json_model and err.
@@ -83,6 +83,46 @@ class Session:
             self.tables.pop(name)
             self.catalog.save(name, register_models(self.catalog.table(name), df, finetuned))
 
+    # -- what can be asked without a statement
+    def models(self, name: str = "image_models", tags: list[str] | None = None) -> DataFrame:
+        """A catalog, or its models that have any of some tags."""
+        df = self.relation(name)
+        return df.filter(filters.has_any_tag(F.col("tag"), tags)) if tags else df
+
+    def model(self, json_model: str, name: str = "image_models") -> DataFrame:
+        return self.relation(name).filter(F.col("json_model") == json_model)
+
+    def reader(self, name: str) -> DataFrame:
+        """The registered row of a dataset: its JSON, size and path."""
+        return self.relation("readers").filter(F.col("name") == name)
+
+    def rank(self, models: str, train: list[str], test: list[str], classifiers: list[str], limit: int | None = None, benchmark: bool = False) -> DataFrame:
+        """The ranking that the statement of the same parts gives."""
+        sides = [Readers(tuple(Reader(n) for n in x), b) for x, b in ((train, False), (test, benchmark))]
+        return self.select(Select((Output("*"),), models, trained=sides[0], tested=sides[1], classifiers=tuple(map(Classifier, classifiers)), limit=limit))
+
+    def neighbours(self, model: str, train: list[str], test: list[str], classifier: str = neighbours.EUCLIDEAN) -> DataFrame:
+        """The nearest training row of every test row under one model."""
+        held = (embedders.embed(self.combined(Readers(tuple(map(Reader, x)))), [model]) for x in (test, train))
+        return neighbours.nearest(*held, classifier)
+
+    def task_distance(self, probe: str, distance: str = "cosine") -> DataFrame:
+        return similarity.pdist(self.embeddings[probe], distance)
+
+    def progress(self, statement: str) -> tuple[int, int]:
+        """How many answers a ranking needs, and how many of them are not known yet."""
+        q = parse(statement)
+        names = sorted(r["name"] for r in predicates.filtered(self.relation(q.source), q.where, self.strict).select("name").distinct().collect())
+        tests = [Readers((r,)) for r in q.tested.readers] if q.tested.benchmark else [q.tested]
+        known = 0
+        for c in q.classifiers:
+            for test in tests:
+                if self._key(q, c, names, test)[0] in self._known:
+                    known += len(names)
+                elif self.catalog and q.chunk is None and q.budget is None:
+                    known += self._known_of(c.value, names, self._key(q, c, names, test)[1]).select("model_json").distinct().count()
+        return len(names) * len(q.classifiers) * len(tests), len(names) * len(q.classifiers) * len(tests) - known
+
     # -- statements
     def sql(self, text: str) -> Any:
         """The result of one statement: a DataFrame, or what EXPLAIN tells."""
@@ -233,13 +273,11 @@ class Session:
     def answer(self, q: Select, c: Any, names: list[str], test: Readers) -> DataFrame:
         """(model, classifier, err ...): known answers are looked up, the rest computed and remembered."""
         halved = q.chunk is not None or q.budget is not None
-        lists = [[identity.canonical({"name": r.name, "changes": [[x.reader, list(x.base_indices), list(x.change_indices)] for x in r.changes]}) for r in x.readers] for x in (q.trained, test)]
-        key = identity.content_hash(c.value, *lists, names, str(q.chunk), str(q.budget), halved)
+        key, lists = self._key(q, c, names, test)
         if key in self._known:
             return self._known[key]
         if self.catalog and not halved:
-            known = known_value(self.catalog.table("known_results"), c.value, names[0], *lists) if len(names) == 1 else self._known_of(c.value, names, lists)
-            found = {r.model_json: r.value for r in known.collect()}
+            found = {r.model_json: r.value for r in self._known_of(c.value, names, lists).collect()}
         else:
             found = {}
         left = [n for n in names if n not in found]
@@ -254,6 +292,12 @@ class Session:
         self._known[key] = out
         return out
 
+    @staticmethod
+    def _key(q: Select, c: Any, names: list[str], test: Readers) -> tuple[str, list[list[str]]]:
+        """What makes a question the same, and the canonical texts of both sides' datasets."""
+        lists = [[identity.canonical({"name": r.name, "changes": [[x.reader, list(x.base_indices), list(x.change_indices)] for x in r.changes]}) for r in x.readers] for x in (q.trained, test)]
+        return identity.content_hash(c.value, *lists, names, str(q.chunk), str(q.budget)), lists
+
     def _known_of(self, classifier: str, names: list[str], lists: list[list[str]]) -> DataFrame:
         train, test = (F.array(*map(F.lit, x)) for x in lists)
         return self.catalog.table("known_results").filter((F.col("classifier_type") == classifier) & F.col("model_json").isin(names) & (F.col("train_readers_json") == train) & (F.col("test_readers_json") == test))

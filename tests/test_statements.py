@@ -128,6 +128,21 @@ def test_answers_are_kept_and_forgotten(spark, session, tmp_path, monkeypatch):
     assert again.sql("FINETUNE a, b WITH d;").count() == 2
 
 
+def test_asking_without_statements(session, tmp_path):
+    session.use(f"file://{tmp_path}/catalog")
+    text = RANK.format("test", ', "Cosine NN"', "")
+    assert session.progress(text) == (8, 8)
+    a = session.rank("models", ["train"], ["test"], ["Euclidean NN"]).collect()
+    assert session.progress(text) == (8, 4)
+    assert [(r.json_model, r.err) for r in a] == [(r.json_model, r.err) for r in session.sql(RANK.format("test", "", "")).collect()]
+    found = session.neighbours("prefix8", ["train"], ["test"])
+    assert found.filter("test_label <> train_label").count() / found.count() == {r.json_model: r.err for r in a}['{"name":"prefix8"}']
+    session.register_models("text_models", session.spark.createDataFrame([("x", "s")], "json_model string, source string"), finetuned=True)
+    assert session.models("text_models", ["finetuned"]).count() == 1 and session.model("x", "text_models").count() == 1
+    session.sql("REGISTER dataset 'd' (tf_name, size) VALUES ('x', 10);")
+    assert session.reader("d").first()["size"] == 10
+
+
 def test_catalog_versions(spark, tmp_path):
     c = Catalog(spark, f"file://{tmp_path}")
     assert c.table("tasks").count() == 0
