@@ -47,6 +47,9 @@ SPAN = 8
 U = np.uint64
 #: Bytes of text whose names one receiver compares.
 LIST_BYTES = 16 << 20
+#: Bytes of text whose chunks one task takes up again; the masks that call for
+#: them are so small that Spark would put them all in one task by their size.
+TASK_BYTES = 16 << 20
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # bases of the two hashes of a window
 
 
@@ -251,6 +254,7 @@ def substring_dedup(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     bits = max(0, (total // LIST_BYTES).bit_length())
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES)
     folder = scratch_path(spark, "chunks")
     held = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     kept_schema = StructType([f for f in held.schema.fields if f.name != "__text"])
@@ -311,10 +315,10 @@ def substring_dedup(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
     lists = stored(held.mapInArrow(send, LIST_SCHEMA), "names")
     first = stored(shared(lists, 1, 1), "masks")
-    again = stored(first.groupBy("chunk").applyInArrow(verify, LIST_SCHEMA), "windows")
+    again = stored(first.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(verify, LIST_SCHEMA), "windows")
     masks = first.unionByName(shared(again, 2, 2))
     out = StructType([*kept_schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept_text string").fields])
-    return masks.groupBy("chunk").applyInArrow(finish, out)
+    return masks.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(finish, out)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
