@@ -34,7 +34,7 @@ from .pieces import BARE, UNCOMMON
 
 LEXICON_WORDS = 100_000
 #: Stretches, and words, whose ids a worker remembers before it forgets those met only once.
-MEMO = 400_000
+MEMO = 250_000
 NONE = 1 << 60
 #: Fixed value: the words of the tokenizer's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -227,7 +227,7 @@ class Lexicon:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def lexicon(uri: str) -> Lexicon:
     return Lexicon(uri)
 
@@ -274,7 +274,7 @@ class Coder:
         return [b"".join(map(get, held)) for held in docs]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # what another corpus left in a worker's memory goes
 def coder(path: str, uri: str) -> Coder:
     return Coder(path, uri)
 
@@ -284,7 +284,7 @@ def word_counts(df: DataFrame, text: str, tokenizer: str) -> DataFrame:
 
     def run(batches):
         special = special_pattern(merger(tokenizer).special)
-        for batch in text_blocks(batches, "__text", 16 << 20):
+        for batch in text_blocks(batches, "__text", 8 << 20):
             seen: Counter = Counter()
             for t in batch.column("__text").to_pylist():
                 seen.update(cut(t or "", special))

@@ -21,10 +21,17 @@ from pyspark.sql import functions as F
 from ..sources import scratch
 
 
+#: Bytes of an Arrow batch: with whole texts in it, Spark's own limit would
+#: let a batch take a good part of an executor's memory on both sides.
+BATCH_BYTES = 8 << 20
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package, one library thread in each."""
+    """Let Python workers import this package, one library thread in each, and
+    keep batches of whole texts small."""
     scratch.importable(spark)
     spark.sparkContext.environment.setdefault("TOKENIZERS_PARALLELISM", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:
