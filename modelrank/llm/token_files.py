@@ -22,14 +22,12 @@ it is whole, so a repeated task leaves the same file.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,24 +35,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import open_file, put_file, scratch_path, text_blocks
+from .pieces import SPACED, UNCOMMON
 
 END_ID = 2
 FRAME_TOKENS = 1 << 16
 DIRECTORY_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 DIRECTORY = np.dtype([("docs", "<i8"), ("first", "<i8"), ("last", "<i8"), ("tokens", "<i8")])
 ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
-#: Entries that a worker remembers before it starts anew.
-MEMO = 400_000
-
-#: How byte-level BPE cuts a text in pieces.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters whose class is the same in every version of Unicode; a text with any other goes to the library whole.
-UNCOMMON = re.compile("[^\t\n\r -~\xa1-ɏΑ-ΡΣ-ωЀ-ҁҊ-ԯ‐-‧ぁ-ゖァ-ヺ一-龥가-힣]")
+#: Pieces that a worker remembers before it forgets those met only once.
+MEMO = 600_000
+#: New pieces that the library gets in one text.
+TOGETHER = 1000
 
 
 class Encoder:
-    """Whole texts to ids.  The library encodes every distinct piece once as
-    long as the worker remembers it; pieces don't influence each other."""
+    """Whole texts to ids.
+
+    The tokenizer cuts a text in pieces that don't influence each other, and
+    the library encodes each distinct piece once, as long as the worker
+    remembers it.  Texts with a special token's string, or with characters
+    whose class may differ between versions of Unicode, go to the library
+    whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,28 +64,40 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
-
-    def _ids(self, encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+        self.again: set[str] = set()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """A blank and letters are a piece whatever stands before or after, if that
+        is another such piece; many of them make one text."""
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        for a in range(0, len(words), 20 * TOGETHER):
+            groups = [words[i : i + TOGETHER] for i in range(a, min(a + 20 * TOGETHER, len(words)), TOGETHER)]
+            for group, e in zip(groups, self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+                ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+                cuts = np.flatnonzero(np.diff(of, prepend=-1)) * 4
+                ends = [*cuts[1:].tolist(), len(ids)]
+                assert len(ends) == len(group)
+                self.memo.update((p, ids[i:j]) for p, i, j in zip(group, cuts.tolist(), ends))
+        rest = [p for p in new if p not in self.memo]
+        self.memo.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        cut = [None if UNCOMMON.search(t) or self.special.search(t) else PIECES.findall(t) for t in texts]
-        distinct: set[str] = set()
-        for pieces in cut:
-            distinct.update(pieces or ())
+        cut = [None if UNCOMMON.search(t) or any(s in t for s in self.special) else SPACED.findall(t) for t in texts]
+        distinct: set[str] = set().union(*filter(None, cut))
         if len(self.memo) + len(distinct) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        new = [p for p in distinct if p not in memo]
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            memo.update(zip(some, map(self._ids, self.library.encode_batch_fast(some, add_special_tokens=False))))
-        get = memo.__getitem__
-        return [self._ids(self.library.encode(t, add_special_tokens=False)) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
+            self.memo = {p: self.memo[p] for p in self.again if p in self.memo} if len(self.again) < MEMO // 2 else {}
+            self.again = set()
+        new = [p for p in distinct if p not in self.memo]
+        self.again.update(distinct.difference(new))
+        self._learn(new)
+        get = self.memo.__getitem__
+        return [self._whole([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
