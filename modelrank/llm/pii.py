@@ -13,8 +13,9 @@ gives out, the stretch of source characters that it came from:
    them, become the signs.
 
 The same patterns run over the result.  A find that holds a rewritten stretch
-is mapped back, and added if no plain find of its kind overlaps it; plain
-finds all stay.  Null and empty texts have no spans.
+is mapped back, and added unless it is equal to or inside a plain find of its
+kind; plain finds all stay, also where an added one reaches beyond them.  Null
+and empty texts have no spans.
 """
 
 from __future__ import annotations
@@ -73,9 +74,11 @@ _LABEL = "[A-Za-z0-9-]+"
 _HELD = "[A-Za-z0-9_%+-]++"
 _AT = r"\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}|<\s*at\s*>|\(\s*@\s*\)|\[\s*@\s*\])\s*"
 _DOT = r"(?:\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}|<\s*dot\s*>|\(\s*\.\s*\)|\[\s*\.\s*\])\s*|[\x20\t]+dot[\x20\t]+)"
+#: What follows isn't the rest of a local part: the word "at" before a real address belongs to the sentence.
+_ENDS = rf"(?![A-Za-z0-9._%+-]*+@{_LABEL}(?:{_DOT}|\.){_LABEL})"
 #: An address with a bracketed sign for "at", or with words for signs throughout, or with a real sign and words for dots; or four numbers.
 ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?:{_HELD}(?:(?:{_DOT}|\.){_HELD})*+(?:{_AT}{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|[\x20\t]+at[\x20\t]+{_LABEL}(?:{_DOT}{_LABEL})+|@{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+)|[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9]))",
+    rf"(?<![A-Za-z0-9_%+-])(?:{_HELD}(?:(?:{_DOT}|\.){_HELD})*+(?:{_AT}{_LABEL}+(?:(?:{_DOT}|\.){_LABEL}+)++{_ENDS}|[\x20\t]+at[\x20\t]+{_LABEL}+(?:{_DOT}{_LABEL}+)++{_ENDS}|@{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+)|[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9]))",
     re.IGNORECASE,
 )
 SIGN = re.compile(rf"(?P<at>{_AT}|[\x20\t]+at[\x20\t]+)|(?P<dot>{_DOT})", re.IGNORECASE)
@@ -191,7 +194,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     """Plain finds, and all finds."""
     text = text or ""
     base = plain(text)
-    added = [x for x in disguised(text) if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in base)]
+    added = [x for x in disguised(text) if not any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in base)]
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -430,6 +430,25 @@ def test_disguised_finds(text, kind, part):
     assert [(k, text[a:b]) for k, a, b in added] == [(kind, part)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, fragment, part",
+    [
+        ("see jоhn@example.com!", "email", "hn@example.com", "jоhn@example.com"),
+        ("to bob dot lee@example.com now", "email", "lee@example.com", "bob dot lee@example.com"),
+        ("mail me at bob dot lee@example.com", "email", "lee@example.com", "bob dot lee@example.com"),
+        ("to bob@mail.example dot com now", "email", "bob@mail.example", "bob@mail.example dot com"),
+        ("call +1 555 123 456７ now", "phone", "+1 555 123 456", "+1 555 123 456７"),
+        ("at ٣1.2.3.4 there", "ip", "1.2.3.4", "٣1.2.3.4"),
+        ("ask me (at) bob.lee@example.com", "email", "bob.lee@example.com", None),
+        ("inside a word: bob@example.com, п", "email", "bob@example.com", None),
+    ],
+)
+def test_disguised_beyond_a_plain_find(text, kind, fragment, part):
+    base, every = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in base] == [(kind, fragment)]
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == ([(kind, part)] if part else [])
+
+
 @pytest.mark.parametrize("text", ["look at example.com, or at the dot", "one two three at home", "привет, как дела", "naïve café at 5 dot", "", "the house at the lake (at last)"])
 def test_clean_texts(text):
     assert pii.find(text) == ([], [])
