@@ -379,6 +379,25 @@ def test_decontamination(spark):
     assert {x.n_hit for x in decontaminate.decontaminate(docs(spark), bench.limit(0)).collect()} == {0}
 
 
+def test_several_automata(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"q{i}" for i in range(5)] + ["é"]
+    items = [(i % 30, " ".join(rng.choices(words, k=rng.randint(0, 20)))) for i in range(40)] + [(None, "cat sat"), (2, "Ελληνικά 中文")]
+    texts = [*TEXTS, *(" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(40)), "..Cat--SAT!! on"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    keep, some = ("doc_id", "text", "items"), docs(spark, texts)
+    whole = sorted(map(str, decontaminate.decontaminate(some, bench, keep=keep).collect()))
+    for group, most in ((1 << 20, 300), (500, 300), (500, 1 << 20)):
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", group)
+        monkeypatch.setattr(decontaminate, "PATTERN_BYTES", most)
+        monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 500)
+        out = decontaminate.decontaminate(some, bench, keep=keep).collect()
+        assert sorted(map(str, out)) == whole, (group, most)
+        by = {r.doc_id: r for r in out}
+        assert [(by[i].n_words, by[i].n_hit, by[i]["items"], by[i].contaminated) for i in range(len(texts))] == plain_contamination(texts, items)
+    assert decontaminate.decontaminate(none(spark), bench).count() == 0 and decontaminate.decontaminate(some, bench, keep=()).count() == len(texts)
+
+
 def test_large_benchmarks_are_refused(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 10)
     with pytest.raises(ValueError):
