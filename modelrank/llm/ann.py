@@ -17,7 +17,8 @@ Recall depends on the data: on vectors without structure only visiting a large
 part of the rows finds the nearest ones, so ``share`` is a parameter.
 Vectors that are null, of another length than most, zero, or that hold null
 or non-finite components take no part, as query or candidate.  Rows that
-share the query's id are not its candidates.
+share the query's id are not its candidates, however many they are.  Each row
+of the queries has its own answers, also where an id comes again among them.
 """
 
 from __future__ import annotations
@@ -105,27 +106,42 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_cell(ids: np.ndarray, vecs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of query, vec_id, score): for each query the k best entries at least."""
+    """(row of query, vec_id, score): for each query the k best entries at least, without those of its own id."""
     order = np.argsort(ids, kind="stable")
     ids, vecs = ids[order], vecs[order]
     distinct, group = np.unique(vecs, axis=0, return_inverse=True)
     group = group.ravel()
     by = np.argsort(group, kind="stable")  # ids ascend within a group
-    begins = np.concatenate([[0], np.cumsum(np.bincount(group))])
+    counts = np.bincount(group)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    names, rank = np.unique(ids, return_inverse=True)
+    places = group[by] * len(names) + rank.ravel()[by]  # ascending
     scaled, out = unit(distinct), []
     step = max(1, BLOCK_SCORES // max(1, len(distinct)))
     for q0 in range(0, len(queries), step):
-        some = queries[q0 : q0 + step]
+        some, of = queries[q0 : q0 + step], query_ids[q0 : q0 + step]
         scores = unit(some) @ scaled.T
-        top = min(k + 1, scores.shape[1])  # one more: the query itself may be among them
+        # vectors that only entries of the query's id have don't count among the best
+        low, high = np.searchsorted(ids, of, "left"), np.searchsorted(ids, of, "right")
+        n_own = high - low
+        who = np.repeat(np.arange(len(some)), n_own)
+        own = group[np.arange(len(who)) - np.repeat(np.cumsum(n_own) - n_own, n_own) + np.repeat(low, n_own)]
+        pairs, times = np.unique(who * len(distinct) + own, return_counts=True)
+        alone = pairs[times == counts[pairs % len(distinct)]]
+        scores[alone // len(distinct), alone % len(distinct)] = -np.inf
+        top = min(k, scores.shape[1])
         least = -np.partition(-scores, top - 1, axis=1)[:, top - 1]
         q, d = np.nonzero(scores >= least[:, None] - 1e-9)
         exact = cosines(some[q], distinct[d])
-        for n in range(k + 1):  # of equal vectors the k + 1 least ids can matter
-            there = begins[d] + n < begins[d + 1]
-            entry = ids[by[np.minimum(begins[d] + n, len(by) - 1)]]
-            there &= entry != query_ids[q0 + q]
-            out.append((q0 + q[there], entry[there], exact[there]))
+        key = d * len(names) + np.minimum(np.searchsorted(names, of[q]), len(names) - 1)
+        known = names[key - d * len(names)] == of[q]
+        low = np.searchsorted(places, key, "left")
+        skip = np.where(known, np.searchsorted(places, key, "right") - low, 0)
+        for n in range(k):  # of equal vectors the k least other ids can matter
+            at = begins[d] + n
+            at = at + np.where(at >= low, skip, 0)
+            there = at < begins[d + 1]
+            out.append((q0 + q[there], ids[by[at[there]]], exact[there]))
     return out
 
 
@@ -164,30 +180,30 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
     sizes = np.zeros(len(centroids[0]) * low, np.int64)
     for r in index.groupBy("cell").count().collect():  # as many rows as cells, MAX_CENTROIDS squared at most
         sizes[r.cell] = r["count"]
-    asked = stored(usable(queries, key or vec_id, vector), "queries")
+    asked = stored(usable(queries, key or vec_id, vector).withColumn("query", F.monotonically_increasing_id()), "queries")
 
     def walk(batches):
         for batch in batches:
             v = halves(unit(matrix_of(batch.column("vec"))))
             a, b = squared(v[0], centroids[0]), squared(v[1], centroids[1])
             cells = [traverse(x, y, sizes, share * n) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(cells, pa.list_(pa.int32()))], names=["vec_id", "vec", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), batch.column("query"), pa.array(cells, pa.list_(pa.int32()))], names=["vec_id", "vec", "query", "cells"])
 
     count = -(-asked.count() // QUERY_BLOCK)
     found = []
     for block in range(max(1, count)):
-        some = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(count)) == block) if count > 1 else asked
-        held = sorted(some.repartition(8).mapInArrow(walk, "vec_id long, vec array<double>, cells array<int>").collect())
+        some = asked.filter(F.pmod(F.xxhash64("query"), F.lit(count)) == block) if count > 1 else asked
+        held = sorted(some.repartition(8).mapInArrow(walk, "vec_id long, vec array<double>, query long, cells array<int>").collect())
         if not held:
             continue
-        query_ids, vecs = np.array([r.vec_id for r in held], np.int64), np.array([r.vec for r in held])
+        query_ids, vecs, places = np.array([r.vec_id for r in held], np.int64), np.array([r.vec for r in held]), np.array([r.query for r in held], np.int64)
         cell = np.concatenate([np.array(r.cells, np.int32) for r in held])
         of = np.repeat(np.arange(len(held), dtype=np.int32), [len(r.cells) for r in held])
         order = np.argsort(cell, kind="stable")
-        probes = spark.sparkContext.broadcast((query_ids, vecs, of[order], np.searchsorted(cell[order], np.arange(len(sizes) + 1))))
+        probes = spark.sparkContext.broadcast((query_ids, vecs, places, of[order], np.searchsorted(cell[order], np.arange(len(sizes) + 1))))
 
         def search(batches, probes=probes):
-            query_ids, vecs, of, cuts = probes.value
+            query_ids, vecs, places, of, cuts = probes.value
             held = None
             for batch in batches:
                 cells, ids, v = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy(), matrix_of(batch.column("vec"))
@@ -201,15 +217,15 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
                     keep = best(q, i, s, k)
                     held = q[keep], i[keep], s[keep]
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(places[held[0]]), pa.array(query_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query", "query_id", "vec_id", "score"])
 
-        found.append(stored(index.mapInArrow(search, "query_id long, vec_id long, score double"), "found"))
+        found.append(stored(index.mapInArrow(search, "query long, query_id long, vec_id long, score double"), "found"))
     if not found:
         return spark.createDataFrame([], schema)
     every = found[0]
     for one in found[1:]:
         every = every.unionAll(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -271,6 +271,21 @@ def test_equal_vectors_tie_to_the_smaller_id(spark):
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
 
 
+def test_repeated_query_rows(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)]
+    df = vectors(spark, rows)
+    twice = vectors(spark, [rows[0], rows[0], (7, [3.0, 1.0, 0.5]), (7, [1.0, 2.0, 3.0])])
+    out = ann.nearest(df, twice, share=2.0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in out) == sorted([(0, n + 1, n + 1) for n in range(5)] * 2 + [(7, n + 1, n) for n in range(5)] * 2)
+    # the query's own id fills the least entries of its vector, and the nearest vectors
+    own = [(0, [1.0, 2.0, 3.0])] * 8 + [(0, [1.0, 2.0, 3.0 + i / 1000]) for i in range(1, 9)]
+    rng = np.random.default_rng(2)
+    rows = [*own, *((i, [1.0, 2.0, 3.0]) for i in (5, 6)), *((i, [float(np.float32(x)) for x in rng.normal(size=3)]) for i in range(10, 40))]
+    df = vectors(spark, rows)
+    out = ann.nearest(df, df.filter("vec_id = 0").limit(1), share=2.0).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [i for i, _ in plain_nearest(rows)[0]] and [r.vec_id for r in out][:2] == [5, 6]
+
+
 # ------------------------------------------------------------ substring dedup
 
 
