@@ -18,8 +18,8 @@ from modelrank.llm.simhash import drop_near_duplicates
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go; a missing language becomes the predicted one."""
-    found = language_id(docs, keep=tuple(docs.columns)).filter(F.col("lang_pred") != "und")
+    """Documents without any letter go; a missing language becomes the predicted one, "und" if none could be learnt."""
+    found = language_id(docs, keep=tuple(docs.columns), letters="__letters").filter("__letters")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -104,12 +104,13 @@ def learn(df: DataFrame, text: str, lang: str, key: str, max_docs: int = MAX_TRA
     return [r.l for r in rows], np.stack(columns, 1).astype(np.float32) if rows else np.zeros((len(GRAMS) * BUCKETS, 0), np.float32)
 
 
-def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), train: DataFrame | None = None) -> DataFrame:
+def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), train: DataFrame | None = None, letters: str | None = None) -> DataFrame:
     """Predict the language of every text from the text alone.
 
     ``train`` (by default the rows of ``df`` that aren't held out) has the
     columns text, lang and key.  Returns the ``keep`` columns with lang_pred
-    and score, the posterior probability of the prediction.
+    and score, the posterior probability of the prediction; ``letters`` names
+    a further column, whether the text has a letter.
     """
     names, matrix = learn(df.filter(~held_out(F.col(f"`{key}`"))) if train is None else train, text, lang, key)
     held = df.sparkSession.sparkContext.broadcast((names, matrix))
@@ -119,7 +120,8 @@ def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str
 
         def work(texts):
             preds, scores = ["und"] * len(texts), [0.0] * len(texts)
-            rows = [i for i, t in enumerate(texts) if t and names and LETTER.search(t)]
+            written = [bool(t and LETTER.search(t)) for t in texts] if names or letters else []
+            rows = [i for i, w in enumerate(written) if w] if names else []
             at = 0
             while at < len(rows):
                 end, size = at, 0
@@ -136,11 +138,11 @@ def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str
                 share = 1 / np.exp(likely - likely.max(1, keepdims=True)).sum(1)
                 for i, b, s in zip(block, best.tolist(), share.tolist()):
                     preds[i], scores[i] = names[b], s
-            return [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            return [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), *([pa.array(written, pa.bool_())] if letters else [])]
 
         return work
 
-    return map_text(df, text, list(keep), "lang_pred string, score double", make)
+    return map_text(df, text, list(keep), "lang_pred string, score double" + (f", `{letters}` boolean" if letters else ""), make)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -612,3 +612,13 @@ def test_pipeline(spark, tmp_path):
         ids = library.encode(kept["decontaminate"][i].text, add_special_tokens=False).ids
         assert (r.ids, r.n_tokens, r.decoded_sha256) == (ids, len(ids), sha(library.decode(ids, skip_special_tokens=False)))
     assert {r.doc_id for r in C.run(spark, str(tmp_path)).collect()} == set(kept["bpe"])
+
+
+def test_pipeline_without_a_known_language(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rows = [(1, "own words here", None), (2, "Ελληνικά", None), (3, "12 34", None), (4, None, None), (5, "", None), (6, "_", None), (7, "ࡰ", None)]
+    for lang in (None, "und"):
+        df = spark.createDataFrame([(i, t, lang) for i, t, _ in rows], "doc_id long, text string, lang string").withColumn("n_chars", F.length("text").cast("long"))
+        out = C.identify_language(spark, df, str(tmp_path))
+        assert out.columns == df.columns and sorted((r.doc_id, r.lang) for r in out.collect()) == [(1, "und"), (2, "und"), (7, "und")]
