@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,8 +40,15 @@ def scratch_root(spark: SparkSession) -> str:
     return scratch.root(spark)
 
 
+#: Paths that were given out in open scopes, innermost last.
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -53,31 +61,65 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table that stored() wrote and that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "scratch", None)
-    if path:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "scratch", None):
+            delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Whatever is written to the scratch folder inside goes at the end, but for
+    the paths that the caller takes out of the list."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not made]
+        for path in made:
+            delete(spark, path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a folder or file, and the path within it."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+    if "://" not in uri:
+        return pafs.LocalFileSystem(), uri
+    scheme, rest = uri.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
-def put_file(uri: str, parts: list[bytes]) -> None:
-    """Write a file whole: under another name first, so that a task that is
-    lost or repeated never leaves half a file behind."""
+@contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A stream to a file that nobody else writes: ``uri`` has a part that is
+    new for each attempt (see ``attempt``), so nothing is moved or replaced, and
+    only names that committed rows carry are ever read."""
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
-    held = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(held) as out:
+    with fs.open_output_stream(path, compression=None) as out:
+        yield out
+
+
+def attempt() -> str:
+    """What tells this attempt of a task from all others."""
+    return uuid.uuid4().hex
+
+
+def put_file(uri: str, parts: list[bytes]) -> str:
+    """Write a file under a name of this attempt's own; the name."""
+    uri = f"{uri}-{attempt()}"
+    with new_file(uri) as out:
         for part in parts:
             out.write(part)
-    fs.move(held, path)
+    return uri
 
 
 def open_file(uri: str) -> pa.NativeFile:
@@ -112,7 +154,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLO
             yield batch.slice(a, b - a)
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Callable[[], Callable[[list], list[pa.Array]]], block: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns of ``df`` plus ``fields`` computed from its text.
 
     ``make()`` runs once in each task and returns a function from a list of
@@ -132,7 +174,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in text_blocks(batches, "__text"):
+        for batch in text_blocks(batches, "__text", block):
             made = work(batch.column("__text").to_pylist())
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip([*kept, *made], arrow)], schema=arrow)
@@ -145,9 +187,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """About ``limit`` rows at most, chosen by a hash of their key alone."""
-    n = df.count()
-    if n <= limit:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(limit / n * (1 << 20)))
+def hash_sample(df: DataFrame, limit: int) -> DataFrame:
+    """Different rows of ``df``, ``limit`` at most, chosen by a hash of all their
+    values: the same ones whatever the partitions, repeated rows once.
+
+    The driver learns one number, the greatest hash that is taken.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    hashes = stored(hashed.select("__h").distinct(), "hashes")
+    n, low = hashes.count(), -(1 << 63)
+    if n > limit:
+        # few more than needed are sorted: the hashes are spread evenly
+        some = hashes.filter(F.col("__h") < low + min((1 << 64) - 1, int((2 * limit + 64) / n * (1 << 64))))
+        hashed = hashed.filter(F.col("__h") <= some.orderBy("__h").limit(limit).agg(F.max("__h")).first()[0])
+    dropped(hashes)
+    return hashed.dropDuplicates(["__h"]).drop("__h")

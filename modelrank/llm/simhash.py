@@ -1,40 +1,46 @@
 """SimHash near-dedup through a byte-position inverted index with count filtering.
 
 A fingerprint has eight bytes.  Two that differ in at most ``bits`` = 2 bits
-agree in six byte positions or more, so each pair that is due shares at least
-six (position, byte) postings; a pair's tally of shared positional bytes is
-the count filter, and pairs that pass it are verified bit by bit.
-
-A list for one position and byte would hold 1/256 of everything, and tallying
-along such lists grows with the square of the input.  The guaranteed minimum
-says more: of four slots of two neighbouring bytes, two slots agree whole.
-So postings are kept for each of the six pairs of slots (four byte positions
-and their 32 bits); every pair that is due meets in at least one list, and the
-tally over all eight positions runs where two fingerprints meet.
-
-Equal fingerprints are merged before anything is indexed.  Lists of up to
-``LIST_LIMIT`` are paired.  Longer ones would give as many pairs as the square
-of their length; their fingerprints are linked exactly another way: each is
-attached to the 65 values within one bit of it, and two differ in two bits or
-fewer just when they meet at such a value.  Every value links its members to
-the least of them, so that rows stay 65 for a fingerprint and components are
-those of all pairs.
+differ in two byte positions at most, so each pair that is due shares six
+positions or more (the guaranteed minimum, ``8 - bits``).
+
+* Prefix: positions are taken in order of rarity, that is by how seldom two
+  fingerprints share a byte there.  Of any ``k + bits`` positions a due pair
+  shares ``k`` at least, so it meets in a posting list of ``k`` of the first
+  ``k + bits`` positions.  ``k`` is the least for which a list of the ``k``
+  rarest holds about one fingerprint, by the histogram of bytes.
+* Hot lists: a list of over ``LIST_LIMIT`` fingerprints is split by one more
+  position.  Its pairs share one of the next ``bits + 1`` positions at least,
+  so each of its fingerprints goes to as many longer keys, and so on until
+  ``8 - bits`` positions are fixed.  A list that is long even then is paired
+  block by block, every pair of blocks on its own.
+* Tally: each meeting of a pair in a list gives the positions of that list.
+  They are gathered for each pair, positions that no list had are added by
+  comparing their bytes, and pairs below the minimum go.
+* Verification: the bits that differ are counted.
+
+Equal fingerprints are merged before anything is indexed.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, stored
+from .common import dropped, map_text, stored
 from .components import connected_components
 
 SEED = 42
+BYTES = 8
+#: Fingerprints of a list that are paired at once; longer lists are split.
 LIST_LIMIT = 64
-SLOT_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+#: Hot lists whose keys (13 bytes each) are broadcast; beyond, they are joined in salted pieces.
+HOT_KEYS, SALTS = 100_000, 16
 #: A long text's shingles are counted so many at a time.
 CHUNK = 1 << 16
 
@@ -68,35 +74,113 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return map_text(df, text, list(keep), f"{name} long", make)
 
 
-def shared_bytes(a: str, b: str) -> Column:
-    """The tally: in how many of eight byte positions two fingerprints agree."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return sum(F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8))
+def byte_at(fp: str, position: int) -> Column:
+    return F.shiftrightunsigned(F.col(fp), 8 * position).bitwiseAND(F.lit(255))
+
+
+def signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def bits_of(mask: int) -> int:
+    """The fingerprint bits of the byte positions in a mask."""
+    return signed(sum(255 << 8 * p for p in range(BYTES) if mask >> p & 1))
+
+
+def mask_of(positions: tuple[int, ...]) -> int:
+    return sum(1 << p for p in positions)
+
+
+def rarity(fps: DataFrame) -> tuple[list[int], list[float], int]:
+    """Positions, the rarest first; for each how likely two fingerprints share its byte; and how many there are."""
+    bytes_of = F.posexplode(F.array(*[byte_at("fp", p) for p in range(BYTES)])).alias("p", "b")
+    rows = fps.select(bytes_of).groupBy("p", "b").count().collect()  # 256 for each position at most
+    n = sum(r["count"] for r in rows if r.p == 0)
+    shared = [sum((r["count"] / n) ** 2 for r in rows if r.p == p) for p in range(BYTES)] if n else [1.0] * BYTES
+    order = sorted(range(BYTES), key=lambda p: (shared[p], p))
+    return order, [shared[p] for p in order], n
+
+
+def _postings(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(mask, key, fp): a fingerprint in the list of its bytes at the positions of each mask."""
+    lists = [F.struct(F.lit(m).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(bits_of(m))).alias("key")) for m in masks]
+    return fps.select("fp", F.inline(F.array(*lists)))
+
+
+def _marked(postings: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    """Postings with the length ``n`` of their list where it is hot, else null."""
+    if n_hot <= HOT_KEYS:
+        return postings.join(F.broadcast(hot), ["mask", "key"], "left")
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = postings.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    return salted.join(hot, ["mask", "key", "salt"], "left").drop("salt")
+
+
+def _met(lists: DataFrame, *more: str) -> DataFrame:
+    """(u, v, mask): every pair of fingerprints that meet in a list."""
+    a, b = (lists.select("mask", "key", *more, F.col("fp").alias(x)) for x in "uv")
+    return a.join(b, ["mask", "key", *more]).filter("u < v").select("u", "v", "mask")
+
+
+def _in_blocks(lists: DataFrame) -> DataFrame:
+    """The same for lists of any length ``n``: blocks of about ``LIST_LIMIT``, every two of them met apart."""
+    count = F.ceil(F.col("n") / F.lit(LIST_LIMIT)).cast("int")
+    held = lists.withColumn("at", F.pmod(F.xxhash64("fp"), count).cast("int")).withColumn("last", count - 1)
+    a = held.select("mask", "key", F.col("fp").alias("x"), F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"))
+    b = held.select("mask", "key", F.col("fp").alias("y"), F.col("at").alias("j"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"))
+    pairs = a.join(b, ["mask", "key", "i", "j"]).filter("i < j or x < y")
+    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "mask")
+
+
+def candidates(fps: DataFrame, bits: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables (u, v, mask) of all meetings in posting lists, and the stored tables that they read."""
+    spark = fps.sparkSession
+    order, shared, n = rarity(fps)
+    need = BYTES - bits
+    k = next((k for k in range(1, need) if n * float(np.prod(shared[:k])) <= 1), need)
+    postings = stored(_postings(fps, [mask_of(c) for c in combinations(order[: k + bits], k)]), "postings")
+    met, held = [], [postings]
+    while True:
+        hot = stored(postings.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_LIMIT), "hot-lists")
+        held.append(hot)
+        n_hot = hot.count()
+        if not n_hot:
+            return [*met, _met(postings)], held
+        marked = _marked(postings, hot, n_hot)
+        met.append(_met(marked.filter("n is null").select("mask", "key", "fp")))
+        if k == need:
+            return [*met, _in_blocks(marked.filter("n is not null"))], held
+        steps = []
+        for c in combinations(range(BYTES), k):
+            rest = [p for p in order if p not in c]
+            steps += [(mask_of(c), mask_of((*c, p)), bits_of(mask_of((*c, p)))) for p in rest[: bits + 1]]
+        table = F.broadcast(spark.createDataFrame(steps, "mask short, longer short, bits long"))  # 210 rows at most
+        split = marked.filter("n is not null").select("mask", "fp").join(table, "mask")
+        postings = stored(split.select(F.col("longer").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp").distinct(), "postings")
+        held.append(postings)
+        k += 1
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    slot = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = [F.lit(n << 32).bitwiseOR(F.shiftleft(slot[b], 16)).bitwiseOR(slot[a]) for n, (a, b) in enumerate(SLOT_PAIRS)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+def tally(met: str, u: str, v: str) -> Column:
+    """In how many positions two fingerprints agree: those of the lists they met in, and others whose bytes are equal."""
+    x = F.col(u).bitwiseXOR(F.col(v))
+    known = [F.shiftright(F.col(met), p).bitwiseAND(F.lit(1)) == 1 for p in range(BYTES)]
+    return sum(F.when(known[p] | (F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255)) == 0), 1).otherwise(0) for p in range(BYTES))
 
 
 def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) whose components
-    are those of all pairs that differ in ``bits`` = 2 bits or fewer."""
-    if bits != 2:
-        raise ValueError("the index is laid out for two bits")
-    postings = _postings(fps)
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(postings.join(lists, "key"), "postings")
-    short = met.filter(F.col("n") <= LIST_LIMIT)
-    a, b = short.select("key", F.col("fp").alias("u")), short.select("key", F.col("fp").alias("v"))
-    pairs = a.join(b, "key").filter("u < v").filter(shared_bytes("u", "v") >= 8 - bits).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
-    hot = met.filter(F.col("n") > LIST_LIMIT).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)])
-    around = hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
-    hubs = around.groupBy("at").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    starred = around.join(hubs, "at").filter("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v"))
-    return pairs.select("u", "v").unionAll(starred).distinct()
+    """(u, v), u < v: all pairs of distinct fingerprints (column fp) that differ in ``bits`` bits or fewer."""
+    if not 0 <= bits < BYTES:
+        raise ValueError(f"from 0 to {BYTES - 1} bits may differ")
+    met, held = candidates(fps, bits)
+    every = met[0]
+    for one in met[1:]:
+        every = every.unionAll(one)
+    pairs = every.groupBy("u", "v").agg(F.bit_or(F.col("mask").cast("int")).alias("met"))
+    found = pairs.filter(tally("met", "u", "v") >= BYTES - bits).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
+    out = stored(found.select("u", "v"), "pairs")
+    dropped(*held)
+    return out
 
 
 def _components(docs: DataFrame) -> DataFrame:
