@@ -1,19 +1,24 @@
 """Line dedup by a sharded minimal perfect hash.
 
 Lines are counted by 128-bit hash, the number of documents that hold each.
-The hashes that reach the threshold go to shards of bounded size, and each
-shard becomes one file in the shared folder: a minimal perfect hash (levels of
-bit arrays with ranks), then an array of 64-bit fingerprints and one of counts
-in the order that the hash gives.  Documents are then read once more and
-probe those arrays; no line is joined to anything.
-
-The address and the fingerprint come from different halves of the hash, so a
-line that isn't indexed is taken for one that is with a chance of 2**-64.
+All distinct hashes are dealt to shards of bounded size, and each shard
+becomes one file in the shared folder: a minimal perfect hash (levels of bit
+arrays with ranks), then compact arrays of 32-bit fingerprints and 32-bit
+counts (which stop at their greatest value) in the order that the hash gives,
+about nine bytes for a line.  Documents are then read once more and probe
+those arrays, and the counts decide which lines go; no line is joined to
+anything.
+
+Address and fingerprint come from different halves of the hash.  Every line
+that is probed is in the index, so a fingerprint never has to tell a stranger
+from a member here; an index that is asked for other lines takes one for a
+member with a chance of 2**-32.
 
 A null text is one empty line.  Empty keys are never counted.  Rows with the
 same id, or without one, count as documents of their own.  Memory: a shard
-holds ``SHARD_KEYS`` keys at most on average, and a worker maps shard files
-instead of loading them.
+holds ``SHARD_KEYS`` keys on average; a worker maps the files of up to
+``OPEN_SHARDS`` of them, and reads them whole (9 MB each) where the shared
+folder is no mounted file system.
 """
 
 from __future__ import annotations
@@ -27,9 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, open_file, put_file, scratch_path, stored, text_blocks
+from .common import dropped, map_text, open_file, put_file, scratch_path, stored, text_blocks
 
 SHARD_KEYS = 1 << 20
+OPEN_SHARDS = 64
+#: Bytes of text whose lines are probed at once, so that a shard is opened once for many.
+PROBE_BYTES = 8 << 20
+TOP = (1 << 32) - 1
 #: Bits of a level per key that is still to be placed.
 GAMMA = 2
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -73,8 +82,8 @@ def build_shard(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> list[bytes]
         placed += int(fits.sum())
         left = left[~fits]
         levels.append((size, ranks, bits))
-    prints, held = np.zeros(n, "<u8"), np.zeros(n, "<u8")
-    prints[slot], held[slot] = b, counts
+    prints, held = np.zeros(n, "<u4"), np.zeros(n, "<u4")
+    prints[slot], held[slot] = b & np.uint64(TOP), np.minimum(counts, np.uint64(TOP))
     head = np.array([n, len(levels), *(size for size, _, _ in levels)], "<u8")
     return [head.tobytes(), *(x.tobytes() for _, ranks, bits in levels for x in (ranks, bits)), prints.tobytes(), held.tobytes()]
 
@@ -84,14 +93,15 @@ class Shard:
 
     def __init__(self, uri: str):
         with open_file(uri) as f:
-            data = np.frombuffer(f.read_buffer(), "<u8")
+            held = f.read_buffer()
+        data = np.frombuffer(held, "<u8", held.size // 8)
         self.n, depth = int(data[0]), int(data[1])
         at, self.levels = 2 + depth, []
         for size in data[2:at].tolist():
             words = size // 64
             self.levels.append((size, data[at : at + words], data[at + words : at + 2 * words]))
             at += 2 * words
-        self.prints, self.counts = data[at : at + self.n], data[at + self.n : at + 2 * self.n]
+        self.prints, self.counts = np.frombuffer(held, "<u4", 2 * self.n, 8 * at).reshape(2, self.n)
 
     def counts_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The count of each key, 0 where it isn't indexed."""
@@ -103,12 +113,12 @@ class Shard:
             w, k = word[found], bit[found]
             slot = (ranks[w] + np.bitwise_count(bits[w] & ((np.uint64(1) << k) - np.uint64(1)))).astype(np.int64)
             rows = left[found]
-            out[rows] = np.where(self.prints[slot] == b[rows], self.counts[slot], 0)
+            out[rows] = np.where(self.prints[slot] == b[rows] & np.uint64(TOP), self.counts[slot], 0)
             left = left[~found]
         return out
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=OPEN_SHARDS)
 def shard_at(uri: str) -> Shard:
     return Shard(uri)
 
@@ -129,19 +139,19 @@ def count_lines(df: DataFrame, text: str, min_chars: int) -> DataFrame:
     return held.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def build_index(frequent: DataFrame, shards: int) -> list[str]:
+def build_index(lines: DataFrame, shards: int) -> list[str]:
     """Shard files of the (a, b, n) rows; as many paths as shards, in order."""
-    folder = scratch_path(frequent.sparkSession, "line-index")
+    folder = scratch_path(lines.sparkSession, "line-index")
 
     def run(key, table):
         shard = key[0].as_py()
         a, b, n = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in "abn")
-        put_file(f"{folder}/{shard}", build_shard(a, b, n))
-        return pa.table({"shard": pa.array([shard], pa.int64())})
+        uri = put_file(f"{folder}/{shard}", build_shard(a, b, n))
+        return pa.table({"shard": pa.array([shard], pa.int64()), "uri": pa.array([uri])})
 
-    made = frequent.withColumn("shard", F.pmod("a", F.lit(shards))).groupBy("shard").applyInArrow(run, "shard long").collect()
-    there = {r["shard"] for r in made}
-    return [f"{folder}/{i}" if i in there else "" for i in range(shards)]
+    made = lines.withColumn("shard", F.pmod("a", F.lit(shards))).groupBy("shard").applyInArrow(run, "shard long, uri string").collect()
+    uris = {r.shard: r.uri for r in made}
+    return [uris.get(i, "") for i in range(shards)]
 
 
 def line_dedup(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -151,9 +161,10 @@ def line_dedup(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     and kept_text (the lines that stay, joined by newline; empty if none
     does or the text is null).
     """
-    frequent = stored(count_lines(df, text, min_chars).filter(F.col("n") >= min_docs), "lines")
-    shards = max(1, -(-frequent.count() // SHARD_KEYS))
-    paths = build_index(frequent, shards)
+    lines = stored(count_lines(df, text, min_chars), "lines")
+    shards = max(1, -(-lines.count() // SHARD_KEYS))
+    paths = build_index(lines, shards)
+    dropped(lines)
 
     def make():
         def work(texts):
@@ -179,7 +190,7 @@ def line_dedup(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
         return work
 
-    return map_text(df, text, list(keep), "n_lines long, n_dropped long, kept_text string", make)
+    return map_text(df, text, list(keep), "n_lines long, n_dropped long, kept_text string", make, PROBE_BYTES)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
