@@ -2,21 +2,27 @@
 
 Texts are lower-cased; each n-gram of code points, n from 1 to 3, falls in one
 of ``BUCKETS`` buckets of its n.  Counting runs in Spark over a sample of
-labelled rows that a hash of their id picks (``MAX_TRAIN_DOCS`` rows at most;
-the learned tables have a fixed size for each language).  The matrix of log
-probabilities is broadcast, and whole texts are scored in numpy in blocks.
-
-A null text, or one without any letter, is ``und`` with score 0.  Rows that
-repeat are scored alike; equal scores go to the first language in order of
-name.  Without any row to learn from, every document is ``und``.
+different labelled rows that a hash of their values picks (``MAX_TRAIN_DOCS``
+rows at most; the learned tables have a fixed size for each language).  The
+matrix of log probabilities and the log priors are broadcast.  A block of
+whole texts becomes sparse counts (text, bucket, count), and these times the
+matrix, summed by text, are the log likelihoods.  A long text is counted in
+stretches whose grams reach into the next one, so every text is scored as a
+whole.
+
+A null text, or one without any letter (Unicode category L), is ``und`` with
+score 0.  Rows that repeat are scored alike, and learnt from once; equal
+scores go to the first language in order of name.  Without any row to learn
+from, every document is ``und``.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +35,9 @@ GRAMS = (1, 2, 3)
 BUCKETS = 1 << 14
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 SMOOTHING = 0.5
-LETTER = re.compile(r"[^\W\d_]")
-BLOCK_CHARS = 1 << 19
+LETTER = regex.compile(r"\p{L}")
+#: Code points that are scored together, and grams that are counted at once.
+BLOCK_CHARS, STRETCH = 1 << 19, 1 << 19
 
 
 def buckets_of(points: np.ndarray, n: int) -> np.ndarray:
@@ -50,34 +57,43 @@ def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
 
+def sparse_counts(texts: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, bucket, count) of the n-grams of each text, a stretch of grams at a time."""
+    points, begins = points_of(texts)
+    of = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(begins))
+    for a in range(0, len(points) - n + 1, STRETCH):
+        some = points[a : a + STRETCH + n - 1]
+        text = of[a : a + len(some) - n + 1]
+        inside = text == of[a + n - 1 : a + len(some)]  # grams that would cross into the next text aren't counted
+        first = int(text[0])
+        key = ((text - first) * BUCKETS + buckets_of(some, n) - (n - 1) * BUCKETS)[inside]
+        key, count = np.unique(key.astype(np.uint32) if (int(text[-1]) - first + 1) * BUCKETS < 1 << 32 else key, return_counts=True)
+        yield (key // BUCKETS).astype(np.int64) + first, (key % BUCKETS).astype(np.intp) + (n - 1) * BUCKETS, count
+
+
 def counts_of(texts: list[str]) -> np.ndarray:
     out = np.zeros(len(GRAMS) * BUCKETS)
-    for t in texts:
-        points, _ = points_of([t])
-        for n in GRAMS:
-            out += np.bincount(buckets_of(points, n), minlength=len(out))
+    for n in GRAMS:
+        for _, bucket, count in sparse_counts(texts, n):
+            out += np.bincount(bucket, count, len(out))
     return out
 
 
 def score_block(texts: list[str], matrix: np.ndarray) -> np.ndarray:
-    """Log likelihood of each text in each language."""
+    """Log likelihood of each text in each language: its sparse counts times the matrix."""
     out = np.zeros((len(texts), matrix.shape[1]))
-    points, begins = points_of(texts)
     for n in GRAMS:
-        if len(points) < n:
-            continue
-        rows = matrix[buckets_of(points, n)]
-        bounds = np.minimum(begins, len(rows))
-        for j in range(len(texts)):
-            # grams that would cross into the next text aren't counted
-            out[j] += rows[bounds[j] : max(bounds[j], min(begins[j + 1] - n + 1, len(rows)))].sum(0, dtype=np.float64)
+        for text, bucket, count in sparse_counts(texts, n):
+            if len(text):
+                starts = np.flatnonzero(np.diff(text, prepend=-1))
+                out[text[starts]] += np.add.reduceat(matrix[bucket] * count[:, None], starts, axis=0)
     return out
 
 
-def learn(df: DataFrame, text: str, lang: str, key: str, max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in order of name, and for each the log probability of every bucket."""
+def learn(df: DataFrame, text: str, lang: str, key: str, max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order of name, for each the log probability of every bucket, and its log prior."""
     held = df.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull())
-    sample = hash_sample(held.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")), "k", max_docs)
+    sample = hash_sample(held.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")), max_docs)
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
@@ -101,7 +117,8 @@ def learn(df: DataFrame, text: str, lang: str, key: str, max_docs: int = MAX_TRA
     for r in rows:
         c = np.frombuffer(bytes(r.c), "<f8").reshape(len(GRAMS), BUCKETS) + SMOOTHING
         columns.append(np.log(c / c.sum(1, keepdims=True)).ravel())
-    return [r.l for r in rows], np.stack(columns, 1).astype(np.float32) if rows else np.zeros((len(GRAMS) * BUCKETS, 0), np.float32)
+    total = sum(r.n for r in rows)
+    return [r.l for r in rows], np.stack(columns, 1) if rows else np.zeros((len(GRAMS) * BUCKETS, 0)), np.log([r.n / total for r in rows])
 
 
 def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), train: DataFrame | None = None, letters: str | None = None) -> DataFrame:
@@ -112,11 +129,11 @@ def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str
     and score, the posterior probability of the prediction; ``letters`` names
     a further column, whether the text has a letter.
     """
-    names, matrix = learn(df.filter(~held_out(F.col(f"`{key}`"))) if train is None else train, text, lang, key)
-    held = df.sparkSession.sparkContext.broadcast((names, matrix))
+    model = learn(df.filter(~held_out(F.col(f"`{key}`"))) if train is None else train, text, lang, key)
+    held = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        names, matrix = held.value
+        names, matrix, prior = held.value
 
         def work(texts):
             preds, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -129,11 +146,7 @@ def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str
                     size += len(texts[rows[end]])
                     end += 1
                 block, at = rows[at:end], end
-                if len(block) == 1 and size > 2 * BLOCK_CHARS:  # a very long text goes in pieces
-                    t = texts[block[0]]
-                    likely = sum(score_block([t[i : i + BLOCK_CHARS]], matrix) for i in range(0, size, BLOCK_CHARS))
-                else:
-                    likely = score_block([texts[i] for i in block], matrix)
+                likely = score_block([texts[i] for i in block], matrix) + prior
                 best = likely.argmax(1)
                 share = 1 / np.exp(likely - likely.max(1, keepdims=True)).sum(1)
                 for i, b, s in zip(block, best.tolist(), share.tolist()):

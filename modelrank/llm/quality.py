@@ -5,12 +5,13 @@ a few pairs of features have two-dimensional tables.  Tables are learnt by
 boosting shallow trees on one feature (or pair) after another, round after
 round.  A score is the logistic function of a sum of looked-up numbers.
 
-Learning takes labelled rows that aren't held out, ``MAX_TRAIN_ROWS`` about at
-most, which a hash of the id picks; their feature rows (not their texts) go to
-the driver.  Features come from the text alone, over the whole of it.  Null
-and empty texts have the features of an empty text.  Rows that repeat score
-alike; documents labelled twice are learnt from twice.  Without any label
-every score is 0.5.
+Learning takes labelled rows that aren't held out, ``MAX_TRAIN_ROWS`` at most,
+which a hash picks: first so many different labels, then, since ids may
+repeat among documents, so many different rows of features.  These (not the
+texts) go to the driver.  Features come from the text alone, over the whole
+of it.  Null and empty texts have the features of an empty text.  Rows that
+repeat score alike, and count once in learning; an id with two different
+labels is learnt from with both.  Without any label every score is 0.5.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out, map_text
+from .common import dropped, hash_sample, held_out, map_text, stored
 
 MAX_TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 6
@@ -160,14 +161,16 @@ def feature_rows(texts: list[str | None]) -> np.ndarray:
 def train(df: DataFrame, labels: DataFrame, text: str, key: str, label: str, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Learn from the documents of ``df`` that ``labels`` marks 0 or 1 and that aren't held out."""
     marked = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").cast("int").alias("__label"))
-    marked = hash_sample(marked.filter(F.col("__key").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__key"))), "__key", max_rows)
+    marked = hash_sample(marked.filter(F.col("__key").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__key"))), max_rows)
     texts = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__words"))
-    held = texts.join(F.broadcast(marked), "__key")  # max_rows rows of two numbers, about
+    held = texts.join(F.broadcast(marked), "__key")  # max_rows rows of two numbers at most
 
     def make():
         return lambda batch: [pa.array(feature_rows(batch).tolist(), pa.list_(pa.float64()))]
 
-    rows = sorted(map_text(held, "__words", ["__key", "__label"], "x array<double>", make).collect())
+    seen = stored(map_text(held, "__words", ["__key", "__label"], "x array<double>", make), "features")
+    rows = sorted(hash_sample(seen, max_rows).collect())
+    dropped(seen)
     return Model(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r["__label"] for r in rows], np.float64))
 
 
