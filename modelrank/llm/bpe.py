@@ -237,6 +237,7 @@ class Coder:
 
     def __init__(self, path: str, uri: str):
         self.merger, self.lexicon = merger(path), lexicon(uri)
+        self.held = self.lexicon.ids.astype("<i4")  # LEXICON_WORDS words' ids, converted once
         self.special = special_pattern(self.merger.special)
         self.words: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
@@ -244,7 +245,7 @@ class Coder:
 
     def _look_up(self, words: list[str]) -> None:
         coded = [w.encode() for w in words]
-        held, offsets = self.lexicon.ids.astype("<i4"), self.lexicon.offsets
+        held, offsets = self.held, self.lexicon.offsets
         for word, raw, place in zip(words, coded, self.lexicon.places(coded).tolist()):
             if place >= 0:
                 self.words[word] = held[offsets[place] : offsets[place + 1]].tobytes()
@@ -312,8 +313,7 @@ def build_lexicon(df: DataFrame, text: str, tokenizer: str, words: int = LEXICON
         least = r.bin
     top = counts.filter(F.col("bin") >= least).select("word").collect() if least is not None else []
     merge = merger(tokenizer).merge
-    uri = scratch_path(df.sparkSession, "lexicon") + "/words.bin"
-    put_file(uri, compile_lexicon({r.word.encode(): merge(r.word.encode()) for r in top}))
+    uri = put_file(scratch_path(df.sparkSession, "lexicon") + "/words.bin", compile_lexicon({r.word.encode(): merge(r.word.encode()) for r in top}))
     dropped(counts)
     return uri
 

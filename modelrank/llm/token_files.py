@@ -9,21 +9,26 @@ A file is a run of frames that any zstandard reader takes as one stream:
   id (uint8), its id (int64) and its number of token ids (uint64), then all
   token ids (uint32); everything little-endian,
 * a skippable frame, the directory: for each data frame the number of
-  documents, the first id, the last id (int64) and the number of token ids,
+  documents, how many of them have no id, the first id, the last id (int64)
+  and the number of token ids,
 * a skippable frame, the seek table of the seekable format: compressed size,
   decompressed size and a checksum (low half of XXH64) for each frame before
   it, then the count, a descriptor and the format's closing number.
 
 ``TokenFile.document`` decompresses only frames whose ids may match.  A null
-text is empty; a null id sorts first; equal ids follow each other in order of
-their text.  A task writes under another name first and moves the file when
-it is whole, so a repeated task leaves the same file.
+text is empty; a null id sorts first, so frames without any id come before
+all others and are asked for by ``document(None)`` alone; equal ids follow
+each other in order of their text.  Frames go out as they fill up.  Each
+attempt of a task writes a file of its own, and ``files.json``, written last,
+lists those that count.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import lru_cache
 
 import numpy as np
@@ -34,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_file, put_file, scratch_path, text_blocks
+from .common import attempt, new_file, open_file, scratch_path, text_blocks
 from .pieces import SPACED, UNCOMMON
 
 END_ID = 2
 FRAME_TOKENS = 1 << 16
 DIRECTORY_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-DIRECTORY = np.dtype([("docs", "<i8"), ("first", "<i8"), ("last", "<i8"), ("tokens", "<i8")])
+DIRECTORY = np.dtype([("docs", "<i8"), ("nulls", "<i8"), ("first", "<i8"), ("last", "<i8"), ("tokens", "<i8")])
 ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 #: Pieces that a worker remembers before it forgets those met only once.
 MEMO = 600_000
@@ -123,13 +128,13 @@ def unframe(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 class FileWriter:
-    """Collects documents in order and gives the file's parts."""
+    """Takes documents in order of their id and writes frames to a stream."""
 
-    def __init__(self) -> None:
+    def __init__(self, out) -> None:
+        self.out = out
         self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        self.parts: list[bytes] = []
         self.entries: list[tuple[int, int, int]] = []
-        self.directory: list[tuple[int, int, int, int]] = []
+        self.directory: list[tuple[int, int, int, int, int]] = []
         self.ids: list[int | None] = []
         self.tokens: list[bytes] = []
         self.size = self.docs = self.total = 0
@@ -146,21 +151,22 @@ class FileWriter:
             return
         data = frame(self.ids, self.tokens)
         packed = self.packer.compress(data)
-        self.parts.append(packed)
+        self.out.write(packed)
         self.entries.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
-        known = [i for i in self.ids if i is not None] or [0]
-        self.directory.append((len(self.ids), known[0], known[-1], self.size))
+        known = [i for i in self.ids if i is not None]
+        self.directory.append((len(self.ids), len(self.ids) - len(known), *((known[0], known[-1]) if known else (0, 0)), self.size))
         self.docs += len(self.ids)
         self.total += self.size
         self.ids, self.tokens, self.size = [], [], 0
 
-    def finish(self) -> list[bytes]:
+    def finish(self) -> None:
         self.flush()
         directory = np.array(self.directory, DIRECTORY).tobytes()
         directory = np.array([DIRECTORY_MAGIC, len(directory)], "<u4").tobytes() + directory
         entries = np.array([*self.entries, (len(directory), 0, 0)], ENTRY)
         table = entries.tobytes() + np.uint32(len(entries)).tobytes() + b"\x80" + np.uint32(SEEKABLE).tobytes()
-        return [*self.parts, directory, np.array([SEEK_MAGIC, len(table)], "<u4").tobytes(), table]
+        for part in (directory, np.array([SEEK_MAGIC, len(table)], "<u4").tobytes(), table):
+            self.out.write(part)
 
 
 class TokenFile:
@@ -192,15 +198,15 @@ class TokenFile:
         for k in range(len(self.directory)):
             yield from self.frame(k)
 
-    def document(self, doc_id: int) -> list[np.ndarray]:
+    def document(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every document of that id; only frames that may hold it are read."""
-        first = int(np.searchsorted(self.directory["last"], doc_id))
-        out = []
-        for k in range(first, len(self.directory)):
-            if self.directory["first"][k] > doc_id:
-                break
-            out += [ids for i, ids in self.frame(k) if i == doc_id]
-        return out
+        named = int(np.count_nonzero(self.directory["nulls"] == self.directory["docs"]))  # the first frame with an id
+        if doc_id is None:
+            rows = range(int(np.count_nonzero(self.directory["nulls"])))
+        else:
+            first = named + int(np.searchsorted(self.directory["last"][named:], doc_id))
+            rows = range(first, named + int(np.searchsorted(self.directory["first"][named:], doc_id, "right")))
+        return [ids for k in rows for i, ids in self.frame(k) if i == doc_id]
 
     def close(self) -> None:
         self.file.close()
@@ -217,18 +223,30 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, text: str = "text",
     end = np.uint32(end_id).tobytes()
 
     def run(batches):
-        part, out, work = TaskContext.get().partitionId(), FileWriter(), encoder(tokenizer)
-        for batch in text_blocks(batches, "t"):
-            for i, ids in zip(batch.column("k").to_pylist(), work.encode(batch.column("t").to_pylist())):
-                out.add(i, ids + end)
-        parts = out.finish()
-        if out.docs:
-            uri = f"{folder}/tokens-{part:06d}.zst"
-            put_file(uri, parts)
+        part, out, work, uri = TaskContext.get().partitionId(), None, encoder(tokenizer), ""
+        with ExitStack() as stack:
+            for batch in text_blocks(batches, "t"):
+                if out is None:
+                    uri = f"{folder}/tokens-{part:06d}-{attempt()}.zst"
+                    out = FileWriter(stack.enter_context(new_file(uri)))
+                for i, ids in zip(batch.column("k").to_pylist(), work.encode(batch.column("t").to_pylist())):
+                    out.add(i, ids + end)
+            if out is not None:
+                out.finish()
+        if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), pa.array([out.docs], pa.int64()), pa.array([out.total], pa.int64())], names=["part", "uri", "docs", "tokens"])
 
     rows = dealt.mapInArrow(run, "part long, uri string, docs long, tokens long").collect()
-    return [(r.uri, r.docs, r.tokens) for r in sorted(rows)]
+    files = [(r.uri, r.docs, r.tokens) for r in sorted(rows)]
+    with new_file(f"{folder}/files.json") as out:
+        out.write(json.dumps([{"uri": u, "docs": d, "tokens": t} for u, d, t in files]).encode())
+    return files
+
+
+def files_of(folder: str) -> list[tuple[str, int, int]]:
+    """What write_tokens wrote to a folder."""
+    with open_file(f"{folder}/files.json") as f:
+        return [(x["uri"], x["docs"], x["tokens"]) for x in json.loads(f.read())]
 
 
 def read_tokens(spark, files: list[tuple[str, int, int]]) -> DataFrame:
