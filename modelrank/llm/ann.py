@@ -7,11 +7,15 @@ centroids come off a heap in order of summed distance until the cells seen
 hold ``share`` of all rows; the entries of those cells are ranked again by
 their exact cosine.
 
-The index is a table in the shared folder, dealt by range of (cell, vec_id),
-so a cell of any size spreads over as many tasks as it needs and a query
-touches only the ranges of its cells.  Within a task equal vectors are scored
-once and keep their least ids, as many as can matter.  Queries go in blocks of
-``QUERY_BLOCK``, each of them broadcast (a fixed number of rows).
+The index is a table in the shared folder: a row for each part of a cell, with
+up to about ``PART_VALUES`` values, so a cell of any size spreads over as many
+tasks as it needs.  Queries go in groups of ``QUERY_VALUES`` values, whose
+vectors are broadcast.  Tasks walk the cells of their queries and turn them
+over to a table (cell, part, queries), which is joined with the index: a part
+that no query of the group visits is never looked at, no list of cells reaches
+the driver, and a task keeps the ``k`` best of each query over all its parts.
+Within a part equal vectors are scored once and keep their least ids, as many
+as can matter.
 
 Recall depends on the data: on vectors without structure only visiting a large
 part of the rows finds the nearest ones, so ``share`` is a parameter.
@@ -34,11 +38,12 @@ from .common import dropped, hash_sample, stored
 
 MAX_FIT, MAX_FIT_VALUES = 20_000, 2_000_000
 MAX_CENTROIDS = 256
-QUERY_BLOCK = 4096
-#: Rows of a range of the index.
-RANGE_ROWS = 20_000
+#: Values (rows by width) of a part of a cell, and of a group of queries.
+PART_VALUES, QUERY_VALUES = 1 << 18, 1 << 22
 SHARE = 0.7
 BLOCK_SCORES = 1 << 21
+#: Queries that a task walks at once.
+WALKED = 64
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -163,7 +168,7 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
     if not n:
         return spark.createDataFrame([], schema)
     first = rows.first().vec
-    sample = hash_sample(rows, "vec_id", min(MAX_FIT, max(256, MAX_FIT_VALUES // len(first))))
+    sample = hash_sample(rows, min(MAX_FIT, max(256, MAX_FIT_VALUES // len(first))))
     fit = unit(np.array([r.vec for r in sorted(sample.collect())] or [first]))
     centroids = [kmeans(h, max(1, min(MAX_CENTROIDS, int((n / 50) ** 0.5))), seed=s) for s, h in enumerate(halves(fit))]
     low = len(centroids[1])
@@ -174,52 +179,28 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
             cell = squared(v[0], centroids[0]).argmin(1) * low + squared(v[1], centroids[1]).argmin(1)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column("vec_id"), batch.column("vec")], names=["cell", "vec_id", "vec"])
 
-    celled = rows.mapInArrow(assign, "cell int, vec_id long, vec array<double>")
-    index = stored(celled.repartitionByRange(max(1, -(-n // RANGE_ROWS), spark.sparkContext.defaultParallelism), "cell", "vec_id").sortWithinPartitions("cell", "vec_id"), "multi-index")
+    celled = stored(rows.mapInArrow(assign, "cell int, vec_id long, vec array<double>").withColumn("row", F.monotonically_increasing_id()), "celled")
     dropped(rows)
+    width = len(first)
+    parts = F.ceil(F.col("n") * width / F.lit(PART_VALUES)).cast("int")
+    cells = stored(celled.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", parts), "cells")  # MAX_CENTROIDS squared rows at most
     sizes = np.zeros(len(centroids[0]) * low, np.int64)
-    for r in index.groupBy("cell").count().collect():  # as many rows as cells, MAX_CENTROIDS squared at most
-        sizes[r.cell] = r["count"]
-    asked = stored(usable(queries, key or vec_id, vector).withColumn("query", F.monotonically_increasing_id()), "queries")
+    for r in cells.collect():
+        sizes[r.cell] = r.n
+    dealt = celled.join(F.broadcast(cells), "cell").select("cell", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part"), "vec_id", "vec")
 
-    def walk(batches):
-        for batch in batches:
-            v = halves(unit(matrix_of(batch.column("vec"))))
-            a, b = squared(v[0], centroids[0]), squared(v[1], centroids[1])
-            cells = [traverse(x, y, sizes, share * n) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), batch.column("query"), pa.array(cells, pa.list_(pa.int32()))], names=["vec_id", "vec", "query", "cells"])
-
-    count = -(-asked.count() // QUERY_BLOCK)
-    found = []
-    for block in range(max(1, count)):
-        some = asked.filter(F.pmod(F.xxhash64("query"), F.lit(count)) == block) if count > 1 else asked
-        held = sorted(some.repartition(8).mapInArrow(walk, "vec_id long, vec array<double>, query long, cells array<int>").collect())
-        if not held:
-            continue
-        query_ids, vecs, places = np.array([r.vec_id for r in held], np.int64), np.array([r.vec for r in held]), np.array([r.query for r in held], np.int64)
-        cell = np.concatenate([np.array(r.cells, np.int32) for r in held])
-        of = np.repeat(np.arange(len(held), dtype=np.int32), [len(r.cells) for r in held])
-        order = np.argsort(cell, kind="stable")
-        probes = spark.sparkContext.broadcast((query_ids, vecs, places, of[order], np.searchsorted(cell[order], np.arange(len(sizes) + 1))))
-
-        def search(batches, probes=probes):
-            query_ids, vecs, places, of, cuts = probes.value
-            held = None
-            for batch in batches:
-                cells, ids, v = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy(), matrix_of(batch.column("vec"))
-                parts = [held] if held else []
-                for c in np.unique(cells):
-                    rows, who = np.flatnonzero(cells == c), of[cuts[c] : cuts[c + 1]]
-                    if len(who):
-                        parts += [(who[q], i, s) for q, i, s in search_cell(ids[rows], v[rows], query_ids[who], vecs[who], k)]
-                if parts:
-                    q, i, s = (np.concatenate(x) for x in zip(*parts))
-                    keep = best(q, i, s, k)
-                    held = q[keep], i[keep], s[keep]
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(places[held[0]]), pa.array(query_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query", "query_id", "vec_id", "score"])
-
-        found.append(stored(index.mapInArrow(search, "query long, query_id long, vec_id long, score double"), "found"))
+    def pack(key, table):
+        table = table.combine_chunks()
+        ids, v = table.column("vec_id").to_numpy(), matrix_of(pa.concat_arrays(table.column("vec").chunks))
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "vecs": pa.array([v.astype("<f8").tobytes()], pa.binary())})
+
+    index = stored(dealt.groupBy("cell", "part").applyInArrow(pack, "cell int, part int, ids binary, vecs binary"), "multi-index")
+    dropped(celled)
+    asked = stored(usable(queries, key or vec_id, vector).withColumn("query", F.monotonically_increasing_id()), "queries")
+    n_asked = asked.count()
+    groups = -(-n_asked * width // QUERY_VALUES)
+    found = [_search(spark, asked.filter(F.pmod(F.xxhash64("query"), F.lit(groups)) == g) if groups > 1 else asked, index, cells, centroids, sizes, share * n, k) for g in range(groups)]
+    found = [f for f in found if f is not None]
     if not found:
         return spark.createDataFrame([], schema)
     every = found[0]
@@ -229,6 +210,52 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _search(spark, some: DataFrame, index: DataFrame, cells: DataFrame, centroids: list[np.ndarray], sizes: np.ndarray, enough: float, k: int) -> DataFrame | None:
+    """(query, query_id, vec_id, score): the k best of each task's parts for each query of a group."""
+    held = sorted(some.collect())  # QUERY_VALUES values, about
+    if not held:
+        return None
+    group = spark.sparkContext.broadcast((np.array([r["query"] for r in held], np.int64), np.array([r.vec_id for r in held], np.int64), np.array([r.vec for r in held])))
+
+    def walk(batches):
+        vecs = group.value[2]
+        for batch in batches:
+            who = batch.column("id").to_numpy()
+            for a in range(0, len(who), WALKED):
+                v = halves(unit(vecs[who[a : a + WALKED]]))
+                visited = [traverse(x, y, sizes, enough) for x, y in zip(squared(v[0], centroids[0]), squared(v[1], centroids[1]))]
+                cell = np.concatenate([np.array(c, np.int32) for c in visited])
+                of = np.repeat(who[a : a + WALKED], [len(c) for c in visited])
+                order = np.argsort(cell, kind="stable")
+                names, cuts = np.unique(cell[order], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(cell)), pa.int32()), pa.array(of[order], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), lists], names=["cell", "who"])
+
+    def search(batches):
+        numbers, query_ids, vecs = group.value
+        best_of = None
+        for batch in batches:
+            parts = [best_of] if best_of else []
+            for ids, data, who in zip(batch.column("ids").to_pylist(), batch.column("vecs").to_pylist(), batch.column("who").to_pylist()):
+                who, ids = np.array(who, np.int64), np.frombuffer(ids, "<i8")
+                parts += [(who[q], i, s) for q, i, s in search_cell(ids, np.frombuffer(data, "<f8").reshape(len(ids), -1), query_ids[who], vecs[who], k)]
+            if parts:
+                q, i, s = (np.concatenate(x) for x in zip(*parts))
+                keep = best(q, i, s, k)
+                best_of = q[keep], i[keep], s[keep]
+        if best_of:
+            q, i, s = best_of
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(query_ids[q]), pa.array(i), pa.array(s)], names=["query", "query_id", "vec_id", "score"])
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-len(held) // WALKED)))
+    walked = spark.range(0, len(held), 1, tasks).mapInArrow(walk, "cell int, who array<int>")
+    visits = walked.groupBy("cell").agg(F.flatten(F.collect_list("who")).alias("who"))  # as long as the group
+    visits = visits.join(F.broadcast(cells), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "who")
+    out = stored(index.join(visits, ["cell", "part"]).select("ids", "vecs", "who").mapInArrow(search, "query long, query_id long, vec_id long, score double"), "found")
+    group.destroy()
+    return out
+
+
 def op3_multi_index(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
