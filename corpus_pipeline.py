@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelrank.llm.bpe import bpe
-from modelrank.llm.common import stored
+from modelrank.llm.common import dropped, scratch_scope, stored
 from modelrank.llm.decontaminate import decontaminate
 from modelrank.llm.language_id import language_id
 from modelrank.llm.line_dedup import line_dedup
@@ -62,9 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        with scratch_scope(spark) as made:  # what the stage itself needed goes once its result is written
+            docs = stored(stage(spark, before, sf_dir), f"stage-{name}")
+            made.remove(docs.scratch)
+        dropped(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

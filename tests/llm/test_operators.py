@@ -71,10 +71,11 @@ def test_simhash(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1, 4, 64])
-def test_links_of_lists_of_any_length(spark, limit, monkeypatch):
-    """Short lists are paired, longer ones starred; the components are the same."""
+@pytest.mark.parametrize("limit, keys, bits", [(2, 0, 2), (64, 100_000, 2), (4, 3, 1)])
+def test_links_of_lists_of_any_length(spark, limit, keys, bits, monkeypatch):
+    """Lists are split by one position after another and at last paired in blocks; every link is found, and no other."""
     monkeypatch.setattr(simhash, "LIST_LIMIT", limit)
+    monkeypatch.setattr(simhash, "HOT_KEYS", keys)
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(30)]
     for base in list(fps[:8]):
@@ -85,6 +86,10 @@ def test_links_of_lists_of_any_length(spark, limit, monkeypatch):
             fps.append(x)
     fps = sorted(set(fps))
     df = spark.createDataFrame([(x - (x >> 63 << 64),) for x in fps], "fp long")
+    links = sorted((r.u % 2**64, r.v % 2**64) for r in simhash.fingerprint_links(df, bits).collect())
+    assert sorted(map(sorted, links)) == [[x, y] for x in fps for y in fps if x < y and (x ^ y).bit_count() <= bits]
+    if limit != 64:
+        return
     found = {r.node % 2**64: r.root % 2**64 for r in components.connected_components(simhash.fingerprint_links(df)).collect()}
     want = plain_components(fps)
     groups = {}
@@ -93,6 +98,26 @@ def test_links_of_lists_of_any_length(spark, limit, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_hot_lists_stay_short_enough_to_pair(spark, monkeypatch):
+    """Fingerprints that share all but two bytes: no list is paired as a whole, and all links are there."""
+    monkeypatch.setattr(simhash, "LIST_LIMIT", 8)
+    rng = random.Random(11)
+    fps = sorted({0x1234567800000000 | rng.getrandbits(16) for _ in range(500)} | {rng.getrandbits(48) << 16 for _ in range(200)})
+    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
+    met, _ = simhash.candidates(df, 2)
+    assert len(met) > 2 and sum(x.count() for x in met) < 30 * len(fps) ** 2 / 2
+    links = {tuple(sorted((r.u % 2**64, r.v % 2**64))) for r in simhash.fingerprint_links(df).collect()}
+    assert links == {(x, y) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 2}
+
+
+def test_fingerprints_of_very_long_texts(monkeypatch):
+    rng = random.Random(12)
+    text = " ".join(f"W{rng.randrange(3000)}" for _ in range(70_000)) + " tail"
+    assert len(text.split()) > simhash.CHUNK and simhash.fingerprint(text) == plain_fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert [simhash.fingerprint(t) for t in TEXTS[:8]] == [plain_fingerprint(t) for t in TEXTS[:8]]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "u long, v long")
     out = {r.node: r.root for r in components.connected_components(links).collect()}
@@ -145,11 +170,13 @@ def test_only_frames_that_may_hold_a_document_are_read(tmp_path, monkeypatch):
     import zstandard
 
     monkeypatch.setattr(token_files, "FRAME_TOKENS", 50)
-    w = token_files.FileWriter()
+    path = tmp_path / "f.zst"
+    out = path.open("wb")
+    w = token_files.FileWriter(out)
     for i in range(100):
         w.add(i // 2, np.arange(i, i + 7, dtype="<u4").tobytes())
-    path = tmp_path / "f.zst"
-    path.write_bytes(b"".join(w.finish()))
+    w.finish()
+    out.close()
     f = token_files.TokenFile(str(path))
     read = []
     monkeypatch.setattr(token_files.TokenFile, "frame", lambda self, k, old=token_files.TokenFile.frame: read.append(k) or old(self, k))
@@ -163,6 +190,27 @@ def test_only_frames_that_may_hold_a_document_are_read(tmp_path, monkeypatch):
         list(token_files.TokenFile(str(path)))
 
 
+def test_documents_without_an_id(tmp_path, monkeypatch):
+    """Frames of null ids come first and hide no other, negative ids included."""
+    monkeypatch.setattr(token_files, "FRAME_TOKENS", 3)
+    for ids in ([None, None, None, -5, -5, -3, 4], [None, -5, 0, 0], [None, None], [-2, 7]):
+        path = tmp_path / "f"
+        with path.open("wb") as out:
+            w = token_files.FileWriter(out)
+            for n, i in enumerate(ids):
+                w.add(i, np.array([n, n], "<u4").tobytes())
+            w.finish()
+        f = token_files.TokenFile(str(path))
+        for i in (*ids, 99, -99, None):
+            assert [x.tolist() for x in f.document(i)] == [[n, n] for n, j in enumerate(ids) if j == i], (ids, i)
+
+
+def test_files_are_listed(spark):
+    folder = scratch_path(spark, "t")
+    files = token_files.write_tokens(docs(spark), folder, BYTE_BPE)
+    assert token_files.files_of(folder) == files and sum(d for _, d, _ in files) == len(TEXTS)
+
+
 ALPHABET = ["a", "b ", " ", "\n", "\t", "\r", "1", "é", "É", "!", "'s", "'", "<|endoftext|>", "<|startoftext|>", "\x85", "　", "中", "Ж", "ΑΣ", " \n", "word", "​", "\x1c", "İ", "²", "😀", "\0"]
 
 
@@ -186,7 +234,7 @@ def test_coding_is_the_librarys(tmp_path):
     from modelrank.llm.common import put_file
 
     uri = str(tmp_path / "lexicon")
-    put_file(uri, bpe.compile_lexicon({w.encode(): merger.merge(w.encode()) for w in words}))
+    uri = put_file(uri, bpe.compile_lexicon({w.encode(): merger.merge(w.encode()) for w in words}))
     coder = bpe.Coder(WORD_BPE, uri)
     rng = random.Random(2)
     texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 12))) for _ in range(4000)] + ["ab" * 700 + "the" * 30]
@@ -261,6 +309,20 @@ def test_nearest_neighbours(spark):
         assert r.vec_id == i and r.score == pytest.approx(s, abs=1e-12)
 
 
+def test_parts_and_groups(spark, monkeypatch):
+    """Cells in many parts and queries in many groups give the same neighbours."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(400)]
+    df = vectors(spark, rows)
+    ask = df.filter("vec_id % 20 = 0")
+    want = sorted(map(tuple, ann.nearest(df, ask, share=2.0).collect()))
+    monkeypatch.setattr(ann, "PART_VALUES", 60)
+    monkeypatch.setattr(ann, "QUERY_VALUES", 50)
+    monkeypatch.setattr(ann, "WALKED", 2)
+    assert sorted(map(tuple, ann.nearest(df, ask, share=2.0).collect())) == want
+    assert {(q, i) for q, _, i, _ in want} == {(q, i) for q, x in plain_nearest(rows, every=20).items() for i, _ in x}
+
+
 def test_equal_vectors_tie_to_the_smaller_id(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(1000, [3.0, 1.0, 0.5])]
     df = vectors(spark, rows)
@@ -328,6 +390,7 @@ def repetitive(rng, vocabulary, n):
 @pytest.mark.parametrize("seed, words, size", [(1, 3, 35), (2, 40, 35), (3, 500, 35), (4, 6, 24), (5, 500, 50)])
 def test_substring_dedup(spark, seed, words, size, monkeypatch):
     monkeypatch.setattr(substring_dedup, "LIST_BYTES", 2000)  # many lists
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 3000)  # and chunks
     texts = [*TEXTS, *repetitive(random.Random(seed), [f"v{i}" for i in range(words)], 60)]
     out = {r.doc_id: r for r in substring_dedup.substring_dedup(docs(spark, texts), size=size).collect()}
     assert [(out[i].n_words, out[i].n_removed, out[i].kept_text) for i in range(len(texts))] == plain_dedup(texts, size)
@@ -353,12 +416,51 @@ def test_symbols_depend_on_eight_words_around():
             first = np.zeros(len(words), bool)
             first[0] = True
             with np.errstate(over="ignore"):
-                at = substring_dedup.symbol_starts(words, first)
+                at = substring_dedup.low_symbols(words, first)[1]
             assert np.diff(at).max() <= substring_dedup.SPAN
             seen.add(tuple(x - 30 for x in at if 30 + substring_dedup.SPAN <= x <= 65 - substring_dedup.SPAN))
         assert len(seen) == 1
 
 
+def test_high_symbols_are_shared_by_long_repeats():
+    """Two copies of a passage in other surroundings have high symbols in common; each stands for equal words."""
+    rng = np.random.default_rng(10)
+    names = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    passage = rng.integers(0, 5000, 600)
+    found = []
+    for _ in range(2):
+        codes = np.concatenate([rng.integers(0, 5000, 300), passage, rng.integers(0, 5000, 200)])
+        words = names[codes]
+        first = np.zeros(len(words), bool)
+        first[0] = True
+        with np.errstate(over="ignore"):
+            symbols, start = substring_dedup.low_symbols(words, first)
+            got = substring_dedup.high_symbols(symbols, start, np.append(start[1:], len(words)), first[start], 35)
+        assert (got[2] - got[1] >= 35).all()
+        found.append({int(n): tuple(codes[a:b].tolist()) for n, a, b in zip(*got)})
+    both = found[0].keys() & found[1].keys()
+    assert len(both) > 3 and all(found[0][n] == found[1][n] for n in both) and max(len(found[0][n]) for n in both) > 100
+
+
+def test_a_passage_of_copies_is_found_elsewhere(spark, monkeypatch):
+    """Windows inside long copies go out once, and windows of other documents still meet them."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2500)
+    rng = random.Random(13)
+    whole = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(whole)] * 7
+    for _ in range(30):
+        a, n = rng.randrange(360), rng.randint(30, 120)
+        texts.append(" ".join([*(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))), *whole[a : a + n], *(f"y{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60)))]))
+    rng.shuffle(texts)
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(docs(spark, texts)).collect()}
+    assert [(out[i].n_words, out[i].n_removed, out[i].kept_text) for i in range(len(texts))] == plain_dedup(texts, 35)
+
+
+def test_results_replace_kept_columns(spark):
+    out = substring_dedup.substring_dedup(docs(spark), keep=("doc_id", "n_words", "kept_text", "score"))
+    assert out.columns == ["doc_id", "score", "n_words", "n_removed", "kept_text"]
+
+
 # ------------------------------------------------------------ decontamination
 
 
@@ -526,9 +628,12 @@ def test_minimal_perfect_hash(tmp_path):
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2**63, 5000, dtype=np.uint64) for _ in range(2))
     path = tmp_path / "shard"
-    path.write_bytes(b"".join(line_dedup.build_shard(a, b, np.arange(1, 5001, dtype=np.uint64))))
+    counts = np.arange(1, 5001, dtype=np.uint64)
+    counts[7] = 1 << 40
+    path.write_bytes(b"".join(line_dedup.build_shard(a, b, counts)))
     shard = line_dedup.Shard(str(path))
-    assert shard.counts_of(a, b).tolist() == list(range(1, 5001))
+    assert shard.counts_of(a, b).tolist() == [line_dedup.TOP if i == 7 else i + 1 for i in range(5000)]
+    assert path.stat().st_size < 10 * 5000
     assert not shard.counts_of(a, b ^ np.uint64(1)).any() and not shard.counts_of(a[::-1], b).any()
 
 
@@ -548,6 +653,86 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_language(rows, texts):
+    """Gram counts in dictionaries, log sums term by term."""
+    import math
+
+    def grams(t):
+        t = f" {t.lower()} "
+        for n in language_id.GRAMS:
+            for i in range(len(t) - n + 1):
+                points = np.array([ord(c) for c in t[i : i + n]], np.uint32)
+                yield n, int(language_id.buckets_of(points, n)[0])
+
+    count, docs, total = {}, {}, {}
+    for t, lang in rows:
+        docs[lang] = docs.get(lang, 0) + 1
+        for n, g in grams(t):
+            count[lang, g] = count.get((lang, g), 0) + 1
+            total[lang, n] = total.get((lang, n), 0) + 1
+    out = []
+    for t in texts:
+        held = {}
+        for lang in docs:
+            p = math.log(docs[lang] / len(rows))
+            for n, g in grams(t):
+                p += math.log((count.get((lang, g), 0) + language_id.SMOOTHING) / (total.get((lang, n), 0) + language_id.SMOOTHING * language_id.BUCKETS))
+            held[lang] = p
+        best = max(sorted(held), key=held.get)
+        out.append((best, 1 / sum(math.exp(v - held[best]) for v in held.values())))
+    return out
+
+
+def test_language_id_is_the_plain_one(spark, monkeypatch):
+    """Prior, counts and sums as a loop gives them, on short texts and in stretches."""
+    rng = random.Random(14)
+    letters = "abcdeé ßдж"
+    rows = [("".join(rng.choices(letters[k : k + 5], k=rng.randint(1, 40))) + "a", x) for k, x in ((0, "en"), (2, "de"), (5, "ru")) for _ in range({"en": 25, "de": 6, "ru": 3}[x])]
+    texts = ["a", "éß", "ab ab", *("".join(rng.choices(letters, k=rng.randint(1, 60))) + "d" for _ in range(30))]
+    train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string").dropDuplicates(["text", "lang"])
+    rows = [(r.text, r.lang) for r in train.collect()]
+    want = plain_language(rows, texts)
+    got = {r.doc_id: r for r in language_id.language_id(docs(spark, texts), train=train).collect()}
+    assert [got[i].lang_pred for i in range(len(texts))] == [x for x, _ in want]
+    assert [got[i].score for i in range(len(texts))] == pytest.approx([p for _, p in want], abs=1e-9)
+    names, matrix, prior = language_id.learn(train, "text", "lang", "doc_id")
+    whole = language_id.score_block(texts, matrix)
+    monkeypatch.setattr(language_id, "STRETCH", 5)
+    assert np.allclose(language_id.score_block(texts, matrix), whole, atol=1e-9)
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    train = spark.createDataFrame([(1, "the thing and over", "en"), (2, "der und nicht über", "de")], "doc_id long, text string, lang string")
+    _, matrix, _ = language_id.learn(train, "text", "lang", "doc_id")
+    rng = random.Random(15)
+    text = "".join(rng.choices("theundr éü", k=3_000_000))
+    points, _ = language_id.points_of([text])
+    want = sum(np.bincount(language_id.buckets_of(points, n), minlength=len(matrix)) @ matrix for n in language_id.GRAMS)
+    assert np.allclose(language_id.score_block([text], matrix)[0], want, rtol=1e-12)
+
+
+def test_signs_that_are_no_letters(spark):
+    train = spark.createDataFrame([(1, "the thing", "en")], "doc_id long, text string, lang string")
+    texts = ["½", "²³", "Ⅷ", "٣", "_", "㊀", "ª", "x½", "é", "中"]
+    out = {r.doc_id: r for r in language_id.language_id(docs(spark, texts), train=train).collect()}
+    assert [out[i].lang_pred for i in range(len(texts))] == ["und"] * 6 + ["en"] * 4
+    assert all(out[i].score == 0 for i in range(6))
+
+
+@pytest.mark.parametrize("keys", [[1, 2, 3, 7], [11], list(range(500))])
+def test_samples_are_bounded(spark, keys):
+    """Whatever repeats, a sample has different rows, as many as may be and no more."""
+    from modelrank.llm.common import hash_sample
+
+    df = spark.range(3000).select(F.element_at(F.array(*map(F.lit, keys)), (F.col("id") % len(keys) + 1).cast("int")).cast("long").alias("k"), (F.col("id") % 40).alias("t"))
+    n = df.distinct().count()
+    for limit in (1, 20, 100, 10_000):
+        held = [tuple(r) for r in hash_sample(df, limit).collect()]
+        assert len(held) == len(set(held)) == min(n, limit)
+    assert sorted(hash_sample(df, 20).collect()) == sorted(hash_sample(df.repartition(7), 20).collect())
+    assert hash_sample(df.limit(0), 5).count() == 0
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.op9_language_id(spark, "/root/testdata/sf0.01").filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -560,6 +745,32 @@ def test_quality_on_held_out_documents(spark):
     assert len(out) > 60 and sum(r.quality == r.predicted for r in out) > 0.93 * len(out)
 
 
+def test_quality_is_the_plain_sum_of_tables(spark):
+    rng = random.Random(16)
+    texts = [*TEXTS, *(" ".join(rng.choices(["aa", "b.", "C1", "|", "dd,"], k=rng.randint(1, 80))) for _ in range(200))]
+    labels = spark.createDataFrame([(i, int("|" in (t or "") and len(t) > 60)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = quality.train(docs(spark, texts), labels, "text", "doc_id", "quality")
+    out = {r.doc_id: r for r in quality.quality(docs(spark, texts), labels).collect()}
+    for i, t in enumerate(texts):
+        x, total = quality.features(t), model.base
+        bin_of = lambda edges, v: sum(e <= v for e in edges)
+        for j, table in enumerate(model.tables):
+            total += table[bin_of(model.edges[j], x[j])]
+        for a, b, table in model.pairs:
+            total += table[bin_of(model.coarse[a], x[a]), bin_of(model.coarse[b], x[b])]
+        assert out[i].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12) and out[i].predicted == (out[i].score >= 0.7)
+
+
+def test_quality_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    """Documents that repeat a labelled id don't add up at the driver."""
+    seen = []
+    monkeypatch.setattr(quality, "Model", lambda x, y: seen.append((x, y)))
+    rows = spark.range(4000).select((F.col("id") % 3 + 1).alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") % 500).cast("int")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0)], "doc_id long, quality int")
+    quality.train(rows, labels, "text", "doc_id", "quality", 50)
+    assert [len(x) for x, _ in seen] == [50]
+
+
 def test_quality_at_the_edges(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
     out = quality.quality(docs(spark), labels).collect()
