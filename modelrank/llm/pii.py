@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,11 +77,11 @@ _AT = r"\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}|<\s*at\s*>|\(\s*@\s*\)|\[\s
 _DOT = r"(?:\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}|<\s*dot\s*>|\(\s*\.\s*\)|\[\s*\.\s*\])\s*|[\x20\t]+dot[\x20\t]+)"
 #: What follows isn't the rest of a local part: the word "at" before a real address belongs to the sentence.
 _ENDS = rf"(?![A-Za-z0-9._%+-]*+@{_LABEL}(?:{_DOT}|\.){_LABEL})"
-#: An address with a bracketed sign for "at", or with words for signs throughout, or with a real sign and words for dots; or four numbers.
-ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?:{_HELD}(?:(?:{_DOT}|\.){_HELD})*+(?:{_AT}{_LABEL}+(?:(?:{_DOT}|\.){_LABEL}+)++{_ENDS}|[\x20\t]+at[\x20\t]+{_LABEL}+(?:{_DOT}{_LABEL}+)++{_ENDS}|@{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+)|[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9]))",
-    re.IGNORECASE,
-)
+#: An address is a chain of labels, then a bracketed sign for "at", or words for signs throughout, or a real sign and words for dots; or four numbers.
+LABEL = re.compile(rf"(?<![A-Za-z0-9_%+-]){_HELD}", re.IGNORECASE)
+NEXT_LABEL = re.compile(rf"(?:{_DOT}|\.)({_HELD})", re.IGNORECASE)
+REST = re.compile(rf"{_AT}{_LABEL}+(?:(?:{_DOT}|\.){_LABEL}+)++{_ENDS}|[\x20\t]+at[\x20\t]+{_LABEL}+(?:{_DOT}{_LABEL}+)++{_ENDS}|@{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+", re.IGNORECASE)
+NUMBERS = re.compile(rf"[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 SIGN = re.compile(rf"(?P<at>{_AT}|[\x20\t]+at[\x20\t]+)|(?P<dot>{_DOT})", re.IGNORECASE)
 BRACKETED = re.compile(r"[(\[{<]\s*(?:at|@|\.)\s*[)\]}>]", re.IGNORECASE)
 
@@ -156,9 +157,42 @@ def _spelled(match: re.Match) -> Iterator[tuple[int, int, str]]:
         yield *match.span(), "".join(SPELLED.get(w) or SIGNS[w] for w in words)
 
 
-def _signs(match: re.Match) -> Iterator[tuple[int, int, str]]:
-    for m in SIGN.finditer(match[0]):
-        yield match.start() + m.start(), match.start() + m.end(), "@" if m["at"] else "."
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches that are addresses once their signs are rewritten, leftmost first.
+
+    What follows a chain of labels doesn't depend on where in it one begins, so
+    a label that led nowhere is not walked over again, and every label is walked
+    once.
+    """
+    at, dead = 0, set()
+    while m := LABEL.search(text, at):
+        start, walked = m.start(), []
+        stop = None
+        while m:
+            label = m.start(m.lastindex or 0)
+            if label in dead:
+                break
+            walked.append(label)
+            end = m.end()
+            m = NEXT_LABEL.match(text, end)
+        else:
+            if rest := REST.match(text, end):
+                stop = rest.end()
+        if stop is None:
+            dead.update(walked)
+            if numbers := NUMBERS.match(text, start):
+                stop = numbers.end()
+        if stop is None:
+            at = LABEL.match(text, start).end()
+        else:
+            yield start, stop
+            at = stop
+
+
+def _signs(text: str) -> Iterator[tuple[int, int, str]]:
+    for a, b in addresses(text):
+        for m in SIGN.finditer(text, a, b):
+            yield *m.span(), "@" if m["at"] else "."
 
 
 def hints(text: str) -> tuple[bool, bool, bool]:
@@ -186,7 +220,7 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     if lookalike or spelled:
         held.rewrite([e for m in SPELLED_RUN.finditer(held.text) for e in _spelled(m)])
     if lookalike or signs:
-        held.rewrite([e for m in ADDRESS.finditer(held.text) for e in _signs(m)])
+        held.rewrite(list(_signs(held.text)))
     return [(kind, int(held.start[a]), int(held.end[b - 1])) for kind, a, b in plain(held.text) if held.made[a:b].any() or held.end[b - 1] - held.start[a] != b - a]
 
 
@@ -194,7 +228,13 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     """Plain finds, and all finds."""
     text = text or ""
     base = plain(text)
-    added = [x for x in disguised(text) if not any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in base)]
+    spans = {kind: [x[1:] for x in base if x[0] == kind] for kind in KINDS}  # in order, none overlaps the next
+
+    def inside(kind: str, a: int, b: int) -> bool:
+        at = bisect_right(spans[kind], a, key=lambda x: x[0]) - 1
+        return at >= 0 and b <= spans[kind][at][1]
+
+    added = [x for x in disguised(text) if not inside(*x)]
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

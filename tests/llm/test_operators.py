@@ -585,6 +585,74 @@ def test_disguised_beyond_a_plain_find(text, kind, fragment, part):
     assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == ([(kind, part)] if part else [])
 
 
+SIGNS_FOR = {"@": [" (at) ", "[at]", " at ", "{ AT }", "[@]", "＠", "@"], ".": [" (dot) ", "[dot]", " dot ", "[.]", "．", "."]}
+LETTERS_FOR = {"a": "аａ", "e": "еｅ", "o": "оοｏ", "c": "сｃ", "x": "х", "p": "р", "i": "і", "1": "１١", "7": "７٧", "0": "０٠", "4": "４"}
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+
+
+def disguise(rng, kind):
+    """An identifier, disguised somewhere."""
+    if kind == "phone":
+        digits = [rng.randrange(10) for _ in range(rng.randint(10, 13))]
+        if rng.random() < 0.5:
+            return "plus " + rng.choice([" ", "-", "  "]).join(NUMBER_WORDS[d] for d in digits)
+        plain = "+" + "".join(map(str, digits))
+        k = rng.randrange(2, len(plain))
+        return plain[:k] + chr(0xFF10 + int(plain[k])) + plain[k + 1 :]
+    if kind == "ip":
+        sign = rng.choice([" dot ", "[.]", "(dot)", "．"])
+        return sign.join(str(rng.randrange(256)) for _ in range(4))
+    plain = f"{rng.choice(['bob', 'ana.lee', 'x_7', 'poe-41'])}@{rng.choice(['example', 'mail-7.example'])}.{rng.choice(['com', 'org', 'co.uk'])}"
+    if rng.random() < 0.5:
+        k = rng.choice([i for i, c in enumerate(plain) if c in LETTERS_FOR])
+        return plain[:k] + rng.choice(LETTERS_FOR[plain[k]]) + rng.choice(["", "\u200b"]) + plain[k + 1 :]
+    at, dot = rng.choice(SIGNS_FOR["@"][:4] + SIGNS_FOR["@"][4:6]), rng.choice(SIGNS_FOR["."][:5])
+    if at == " at ":
+        dot = " dot "  # words for signs throughout
+    return plain.replace("@", at).replace(".", dot)
+
+
+def test_random_disguises_map_back():
+    """The source span of a disguised identifier is exactly what was put in, whatever stands around and came before."""
+    rng = random.Random(17)
+    around = ["see: ", "ё text, ", "\n", "(no) ", "😀 ", "it costs 5; ", "‘quoted’ "]
+    for _ in range(1500):
+        text, want = "", []
+        for _ in range(rng.randint(1, 4)):
+            text += "".join(rng.choices(around, k=rng.randint(1, 3))) + "| "
+            kind = rng.choice(["email", "ip", "phone"])
+            part = disguise(rng, kind)
+            want.append((kind, len(text), len(text) + len(part)))
+            text += part + " |"
+        base, every = pii.find(text)
+        assert set(want) <= set(every), (text, [(k, text[a:b]) for k, a, b in want], [(k, text[a:b]) for k, a, b in every])
+        assert {k for k in every if k not in base} <= set(want), text
+        assert base == plain_pii(text) and every == sorted(every, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2]))
+
+
+def test_addresses_are_those_of_one_pattern():
+    """Walking every label once finds what trying the whole pattern at every label does."""
+    held, dot, at, label, ends = pii._HELD, pii._DOT, pii._AT, pii._LABEL, pii._ENDS
+    whole = re.compile(rf"(?<![A-Za-z0-9_%+-])(?:{held}(?:(?:{dot}|\.){held})*+(?:{pii.REST.pattern})|{pii.NUMBERS.pattern})", re.IGNORECASE)
+    rng = random.Random(18)
+    tokens = ["a", "b1", " ", "dot", "at", " dot ", " at ", " (at) ", "[dot]", "@", ".", "1", "23", "255", "-", "_", "( . )", "\n", "x", "  "]
+    for _ in range(20_000):
+        text = "".join(rng.choices(tokens, k=rng.randint(1, 16)))
+        assert list(pii.addresses(text)) == [m.span() for m in whole.finditer(text)], text
+
+
+@pytest.mark.parametrize("part", ["a.", "a dot ", "one dot ", "1 dot ", "a@a dot ", "a dot dot ", "a (at) ", "+1 ", "1 ", "а", "( at ", "(dot "])
+def test_long_texts_take_time_in_proportion(part):
+    import time
+
+    took = []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        pii.find("dot " + part * (size // len(part)))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.1), took
+
+
 @pytest.mark.parametrize("text", ["look at example.com, or at the dot", "one two three at home", "привет, как дела", "naïve café at 5 dot", "", "the house at the lake (at last)"])
 def test_clean_texts(text):
     assert pii.find(text) == ([], [])
