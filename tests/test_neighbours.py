@@ -19,17 +19,20 @@ def places(found):
     return [r.train_idx for r in found.orderBy("test_idx").collect()]
 
 
-@pytest.mark.parametrize("block", [2, 3, 100])
-def test_euclidean_in_any_blocks(spark, block):
-    test, train = rows(spark, range(1, 8)), rows(spark, [4.1, 2.1, 7.1, 5.1, 1.1, 3.1, 6.1])
-    assert places(N.nearest(test, train, rows=block)) == [4, 1, 5, 0, 3, 6, 2]
-    assert places(N.nearest_sql(test, train)) == [4, 1, 5, 0, 3, 6, 2]
+def looped(test, train, metric):
+    """The nearest training row of each test row, by a plain loop."""
+    unit = (lambda v: v / np.sqrt((v * v).sum())) if metric == N.COSINE else (lambda v: v)
+    return [min(range(len(train)), key=lambda j: (((unit(x) - unit(train[j])) ** 2).sum(), j)) for x in test]
 
 
-def test_cosine(spark):
-    test, train = rows(spark, [[1, 1], [-1, 1]]), rows(spark, [[-2.3, 2], [1000, -1000], [0.5, 0.4]])
-    assert places(N.nearest(test, train, N.COSINE)) == [2, 0]
-    assert places(N.nearest_sql(test, train, N.COSINE)) == [2, 0]
+@pytest.mark.parametrize("metric", [N.EUCLIDEAN, N.COSINE])
+@pytest.mark.parametrize("block, width", [(2, 1), (5, 3), (100, 4)])
+def test_nearest_in_any_blocks(spark, metric, block, width):
+    rng = np.random.default_rng(block)
+    test, train = rng.normal(size=(11, width)), rng.normal(size=(23, width)) + 0.1
+    want = looped(test, train, metric) if metric == N.EUCLIDEAN or width > 1 else None
+    found = places(N.nearest(rows(spark, test), rows(spark, train), metric, rows=block))
+    assert found == (want or places(N.nearest_sql(rows(spark, test), rows(spark, train), metric)))
 
 
 def test_ties_go_to_the_first_reader_and_row(spark):
@@ -57,23 +60,23 @@ def test_both_ways_agree(spark):
 
 
 def test_readers_are_merged(spark):
-    """Labels, distances and places of two readers, and what wins."""
-    one = dict(labels=[4, 2, 3, 1, 0, 2][:6], distance=[0.5, 0.1, 6, 2, 1, 5], idx=[2, 1, 3, 0, 2, 1])
-    two = dict(labels=[5, 1, 2, 4, 7, 1], distance=[9, 5, 2, 6, 0.2, 6], idx=[4, 0, 5, 2, 3, 6])
-    data = [("", 0, t, t, float(x["distance"][t]), r, x["idx"][t], x["labels"][t]) for r, x in enumerate((one, two)) for t in range(6)]
+    """Results of several readers, and what wins, by a plain loop."""
+    rng = np.random.default_rng(21)
+    data = [("", 0, t, t % 4, float(rng.integers(0, 6)), r, int(rng.integers(0, 9)), int(rng.integers(0, 4))) for r in range(3) for t in range(25)]
     found = N.merged(spark.createDataFrame(data, "model string, test_reader int, test_idx long, test_label long, distance double, train_reader int, train_idx long, train_label long"))
-    got = [(r.train_label, r.train_reader, r.train_idx) for r in found.orderBy("test_idx").collect()]
-    assert got == [(4, 0, 2), (2, 0, 1), (2, 1, 5), (1, 0, 0), (7, 1, 3), (2, 0, 1)]
-    assert N.errors(found, "model").first().err == pytest.approx(sum(a != b for a, (b, _, _) in enumerate(got)) / 6)
+    want = {t: min((x for x in data if x[2] == t), key=lambda x: x[4:7]) for t in range(25)}
+    assert {r.test_idx: (r.distance, r.train_reader, r.train_idx, r.train_label) for r in found.collect()} == {t: x[4:] for t, x in want.items()}
+    assert N.errors(found, "model").first().err == pytest.approx(sum(x[3] != x[7] for x in want.values()) / 25)
 
 
 def test_relabelling_needs_no_distances(spark):
-    labels, readers, idx = [3, 1, 6, 3, 5, 6, 1, 2, 0, 4], [0, 0, 1, 0, 1, 1, 1, 0, 1, 0], [1, 15, 5, 1, 7, 5, 10, 0, 1, 2]
-    found = spark.createDataFrame([(i, r, x, v) for i, (r, x, v) in enumerate(zip(readers, idx, labels))], "test_idx long, train_reader int, train_idx long, train_label long")
-    edits = [(0, 0, 2, 7), (0, 0, 14, 0), (1, 0, 1, 5), (1, 0, 2, 8), (1, 0, 15, 10), (0, 1, 5, 8), (0, 1, 10, 1), (0, 2, 10, 0), (0, 2, 20, 0)]
-    out = O.relabel(found, spark.createDataFrame(edits, "seq int, reader_idx int, idx long, label long"))
-    assert [r.train_label for r in out.orderBy("test_idx").collect()] == [5, 10, 8, 5, 5, 8, 1, 2, 0, 8]
-    assert [r.train_label for r in found.orderBy("test_idx").collect()] == labels
+    rng = np.random.default_rng(22)
+    found = [(t, int(rng.integers(0, 3)), int(rng.integers(0, 12)), int(rng.integers(0, 5))) for t in range(40)]
+    edits = [(seq, int(rng.integers(0, 4)), int(i), int(rng.integers(5, 9))) for seq in range(3) for i in rng.choice(15, 8, replace=False)]
+    last = {(r, i): v for _, r, i, v in edits}  # later edits come later in the list
+    held = spark.createDataFrame(found, "test_idx long, train_reader int, train_idx long, train_label long")
+    out = O.relabel(held, spark.createDataFrame(edits, "seq int, reader_idx int, idx long, label long").dropDuplicates(["seq", "reader_idx", "idx"]))
+    assert {r.test_idx: r.train_label for r in out.collect()} == {t: last.get((r, i), v) for t, r, i, v in found}
 
 
 def test_overlay_then_search_is_relabelling(spark):

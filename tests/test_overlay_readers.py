@@ -11,14 +11,31 @@ def table(spark, n, embed, label):
     return spark.range(n).select(F.col("id").alias("row_idx"), F.lit(embed).cast("double").alias("embed"), F.lit(label).cast("long").alias("label"))
 
 
-def test_three_overlays(spark):
-    base = table(spark, 10, 1, 1)
-    e = O.edits(0, table(spark, 9, 3, 3), [0, 2, 5], [0, 1, 2], True, False)
-    e = e.unionByName(O.edits(1, table(spark, 9, 4, 4), [1, 2, 5, 6, 8], [0, 1, 2, 3, 4], True, True))
-    e = e.unionByName(O.edits(2, table(spark, 9, 5, 5), [1, 2, 3, 4], [0, 1, 2, 3], False, True))
-    out = O.apply_overlay(base, e).orderBy("row_idx").collect()
-    assert [r.embed for r in out] == [3, 4, 4, 1, 1, 4, 4, 1, 4, 1]
-    assert [r.label for r in out] == [1, 5, 5, 5, 5, 4, 4, 1, 4, 1]
+def test_overlays_one_after_another(spark):
+    """The last edit of the features and the last of the label count, each on its own."""
+    rng = np.random.default_rng(23)
+    for _ in range(3):
+        n, want, held = 14, [[0.0, 0] for _ in range(14)], None
+        for seq in range(4):
+            at = sorted(rng.choice(n, rng.integers(1, 7), replace=False).tolist())
+            features, labels = ((True, False), (False, True), (True, True))[rng.integers(0, 3)]
+            some = O.edits(seq, table(spark, len(at), seq + 1, seq + 1), at, list(range(len(at))), features, labels)
+            held = some if held is None else held.unionByName(some)
+            for i in at:
+                want[i] = [seq + 1.0 if features else want[i][0], seq + 1 if labels else want[i][1]]
+        out = O.apply_overlay(table(spark, n, 0, 0), held).orderBy("row_idx").collect()
+        assert [[r.embed, r.label] for r in out] == want
+
+
+def test_edits_beyond_the_changes_are_refused(spark):
+    with pytest.raises(ValueError):
+        O.edits(0, table(spark, 3, 1, 1), [0, 1], [0, 3], True, True)
+
+
+def test_changes_may_lack_features(spark):
+    labels = table(spark, 4, 1, 7).drop("embed")
+    out = O.edits(0, labels, [5, 6], [0, 3], False, True, like=table(spark, 1, 1, 1)).orderBy("base_idx").collect()
+    assert [(r.base_idx, r.embed, r.label) for r in out] == [(5, None, 7), (6, None, 7)]
 
 
 @pytest.mark.parametrize("indices", [[-1, 2], [3, 2], [2, 2]])
