@@ -9,6 +9,7 @@ expressions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,75 +17,85 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from . import readers as R
 
-#: Name | package | kind of splits | rows of train | percent of train | percent of validation | derived label.
-BENCHMARK = """
-Caltech101 | caltech101:3.0.1 | train_test | 3060 | 90 | |
-CIFAR-10 | cifar10:3.0.2 | train_test | 50000 | 100 | |
-CIFAR-100 | cifar100:3.0.2 | train_test | 50000 | 90 | |
-CLEVR distance prediction | clevr:3.1.0 | train_test | 70000 | 90 | | closest_object
-CLEVR counting | clevr:3.1.0 | train_test | 70000 | 90 | | object_count
-Diabetic Rethinopathy | diabetic_retinopathy_detection/btgraham-300:3.0.0 | full | | | |
-Dmlab Frames | dmlab:2.0.1 | full | | | |
-dSprites orientation prediction | dsprites:2.0.0 | train | 737280 | 80 | 10 | orientation
-dSprites location prediction | dsprites:2.0.0 | train | 737280 | 80 | 10 | location
-Describable Textures Dataset (DTD) | dtd:3.0.1 | full | | | |
-EuroSAT | eurosat/rgb:2.0.0 | train | 27000 | 60 | 20 |
-KITTI distance prediction | kitti:3.2.0 | full | | | | closest_vehicle
-102 Category Flower Dataset | oxford_flowers102:2.1.1 | full | | | |
-Oxford IIIT Pet dataset | oxford_iiit_pet:3.2.0 | train_test | 3680 | 80 | |
-PatchCamelyon | patch_camelyon:2.0.0 | full | | | |
-Resisc45 | resisc45:3.0.0 | train | 31500 | 60 | 20 |
-Small NORB azimuth prediction | smallnorb:2.0.0 | halved_test | | | | azimuth
-Small NORB elevation prediction | smallnorb:2.0.0 | halved_test | | | | elevation
-SUN397 | sun397/tfds:4.0.0 | full | | | |
-SVHN | svhn_cropped:3.0.0 | train_test | 73257 | 90 | |
-CIFAR-10Splitted | cifar10_splitted:1.0.0 | own | | | |
-CIFAR-10Ordered | cifar10_ordered:1.0.0 | train_test | 50000 | 100 | |
-CIFAR-9 | cifarn:3.0.3 | train_test | 45000 | 100 | |
-CIFAR-9TH | cifar9_th:1.0.0 | train_test | 5000 | 100 | |
-CIFAR-10Ordered2 | cifar10_ordered2:1.0.0 | train_test | 50000 | 100 | |
-CIFAR-8 | cifar8:1.0.0 | train_test | 40000 | 100 | |
-CIFAR-8TH | cifar8_th:1.0.0 | train_test | 10000 | 100 | |
-CIFAR-10Ordered3 | cifar10_ordered3:1.0.0 | train_test | 50000 | 100 | |
-CIFAR-7 | cifar7:1.0.0 | train_test | 35000 | 100 | |
-CIFAR-7TH | cifar7_th:1.0.0 | train_test | 15000 | 100 | |
-Diabetic Rethinopathy Splitted | diabetic_retinopathy_detection_splitted:1.0.0 | own | | | |
-Diabetic Rethinopathy Ordered | diabetic_retinopathy_detection_ordered:1.0.0 | full | | | |
-"""
+@dataclass(frozen=True)
+class Dataset:
+    """A name, the package that it is read from, how its splits are made (with rows of
+    train, and percent of them for train and validation), and its derived label."""
+
+    name: str
+    package: str
+    kind: str
+    rows: int = 0
+    train: int = 0
+    validation: int = 0
+    derived: str = ""
+
+
+#: The named datasets.
+BENCHMARK = [
+    Dataset("Caltech101", "caltech101:3.0.1", "train_test", rows=3060, train=90),
+    Dataset("CIFAR-10", "cifar10:3.0.2", "train_test", rows=50000, train=100),
+    Dataset("CIFAR-100", "cifar100:3.0.2", "train_test", rows=50000, train=90),
+    Dataset("CLEVR distance prediction", "clevr:3.1.0", "train_test", rows=70000, train=90, derived="closest_object"),
+    Dataset("CLEVR counting", "clevr:3.1.0", "train_test", rows=70000, train=90, derived="object_count"),
+    Dataset("Diabetic Rethinopathy", "diabetic_retinopathy_detection/btgraham-300:3.0.0", "full"),
+    Dataset("Dmlab Frames", "dmlab:2.0.1", "full"),
+    Dataset("dSprites orientation prediction", "dsprites:2.0.0", "train", rows=737280, train=80, validation=10, derived="orientation"),
+    Dataset("dSprites location prediction", "dsprites:2.0.0", "train", rows=737280, train=80, validation=10, derived="location"),
+    Dataset("Describable Textures Dataset (DTD)", "dtd:3.0.1", "full"),
+    Dataset("EuroSAT", "eurosat/rgb:2.0.0", "train", rows=27000, train=60, validation=20),
+    Dataset("KITTI distance prediction", "kitti:3.2.0", "full", derived="closest_vehicle"),
+    Dataset("102 Category Flower Dataset", "oxford_flowers102:2.1.1", "full"),
+    Dataset("Oxford IIIT Pet dataset", "oxford_iiit_pet:3.2.0", "train_test", rows=3680, train=80),
+    Dataset("PatchCamelyon", "patch_camelyon:2.0.0", "full"),
+    Dataset("Resisc45", "resisc45:3.0.0", "train", rows=31500, train=60, validation=20),
+    Dataset("Small NORB azimuth prediction", "smallnorb:2.0.0", "halved_test", derived="azimuth"),
+    Dataset("Small NORB elevation prediction", "smallnorb:2.0.0", "halved_test", derived="elevation"),
+    Dataset("SUN397", "sun397/tfds:4.0.0", "full"),
+    Dataset("SVHN", "svhn_cropped:3.0.0", "train_test", rows=73257, train=90),
+    Dataset("CIFAR-10Splitted", "cifar10_splitted:1.0.0", "own"),
+    Dataset("CIFAR-10Ordered", "cifar10_ordered:1.0.0", "train_test", rows=50000, train=100),
+    Dataset("CIFAR-9", "cifarn:3.0.3", "train_test", rows=45000, train=100),
+    Dataset("CIFAR-9TH", "cifar9_th:1.0.0", "train_test", rows=5000, train=100),
+    Dataset("CIFAR-10Ordered2", "cifar10_ordered2:1.0.0", "train_test", rows=50000, train=100),
+    Dataset("CIFAR-8", "cifar8:1.0.0", "train_test", rows=40000, train=100),
+    Dataset("CIFAR-8TH", "cifar8_th:1.0.0", "train_test", rows=10000, train=100),
+    Dataset("CIFAR-10Ordered3", "cifar10_ordered3:1.0.0", "train_test", rows=50000, train=100),
+    Dataset("CIFAR-7", "cifar7:1.0.0", "train_test", rows=35000, train=100),
+    Dataset("CIFAR-7TH", "cifar7_th:1.0.0", "train_test", rows=15000, train=100),
+    Dataset("Diabetic Rethinopathy Splitted", "diabetic_retinopathy_detection_splitted:1.0.0", "own"),
+    Dataset("Diabetic Rethinopathy Ordered", "diabetic_retinopathy_detection_ordered:1.0.0", "full"),
+]
 #: Rows of the splits of datasets that have splits of their own.
 OWN_SPLITS = {
     "CIFAR-10Splitted": {f"train_{i}": 5000 for i in range(10)} | {f"test_{i}": 1000 for i in range(10)},
     "Diabetic Rethinopathy Splitted": dict(zip([*(f"train_{i}" for i in range(5)), *(f"validation_{i}" for i in range(5))], [25810, 2443, 5292, 873, 708, 8130, 720, 1579, 237, 240])),
 }
-#: Predefined image models: name | address | side of the image | batch size.
-IMAGE_MODELS = """
-Inception V3 | https://tfhub.dev/google/tf2-preview/inception_v3/feature_vector/4 | 299 | 256
-ResNet V2 50 | https://tfhub.dev/google/imagenet/resnet_v2_50/feature_vector/4 | 224 | 512
-ResNet V2 101 | https://tfhub.dev/google/imagenet/resnet_v2_101/feature_vector/4 | 224 | 512
-ResNet V2 152 | https://tfhub.dev/google/imagenet/resnet_v2_152/feature_vector/4 | 224 | 512
-EfficientNet B0 | https://tfhub.dev/tensorflow/efficientnet/b0/feature-vector/1 | 224 | 128
-EfficientNet B1 | https://tfhub.dev/tensorflow/efficientnet/b1/feature-vector/1 | 240 | 128
-EfficientNet B2 | https://tfhub.dev/tensorflow/efficientnet/b2/feature-vector/1 | 260 | 256
-EfficientNet B3 | https://tfhub.dev/tensorflow/efficientnet/b3/feature-vector/1 | 300 | 128
-EfficientNet B4 | https://tfhub.dev/tensorflow/efficientnet/b4/feature-vector/1 | 380 | 64
-EfficientNet B5 | https://tfhub.dev/tensorflow/efficientnet/b5/feature-vector/1 | 456 | 64
-EfficientNet B6 | https://tfhub.dev/tensorflow/efficientnet/b6/feature-vector/1 | 528 | 8
-EfficientNet B7 | https://tfhub.dev/tensorflow/efficientnet/b7/feature-vector/1 | 600 | 16
-"""
-#: Predefined text models: name | address | batch size.
-TEXT_MODELS = """
-ELMo | https://tfhub.dev/google/elmo/3 | 2
-NNLM 50 | https://tfhub.dev/google/nnlm-en-dim50/2 | 2048
-NNLM 50 Normalization | https://tfhub.dev/google/nnlm-en-dim50-with-normalization/2 | 2048
-NNLM 128 | https://tfhub.dev/google/nnlm-en-dim128/2 | 2048
-NNLM 128 Normalization | https://tfhub.dev/google/nnlm-en-dim128-with-normalization/2 | 2048
-Universal Sentence Encoder | https://tfhub.dev/google/universal-sentence-encoder/4 | 2048
-Universal Sentence Encoder Large | https://tfhub.dev/google/universal-sentence-encoder-large/5 | 16
-"""
-
-
-def _lines(text: str) -> list[list[str]]:
-    return [[c.strip() for c in line.split("|")] for line in text.strip().splitlines()]
+#: Predefined image models: name, address, side of the image, batch size.
+IMAGE_MODELS = [
+    ("Inception V3", "https://tfhub.dev/google/tf2-preview/inception_v3/feature_vector/4", 299, 256),
+    ("ResNet V2 50", "https://tfhub.dev/google/imagenet/resnet_v2_50/feature_vector/4", 224, 512),
+    ("ResNet V2 101", "https://tfhub.dev/google/imagenet/resnet_v2_101/feature_vector/4", 224, 512),
+    ("ResNet V2 152", "https://tfhub.dev/google/imagenet/resnet_v2_152/feature_vector/4", 224, 512),
+    ("EfficientNet B0", "https://tfhub.dev/tensorflow/efficientnet/b0/feature-vector/1", 224, 128),
+    ("EfficientNet B1", "https://tfhub.dev/tensorflow/efficientnet/b1/feature-vector/1", 240, 128),
+    ("EfficientNet B2", "https://tfhub.dev/tensorflow/efficientnet/b2/feature-vector/1", 260, 256),
+    ("EfficientNet B3", "https://tfhub.dev/tensorflow/efficientnet/b3/feature-vector/1", 300, 128),
+    ("EfficientNet B4", "https://tfhub.dev/tensorflow/efficientnet/b4/feature-vector/1", 380, 64),
+    ("EfficientNet B5", "https://tfhub.dev/tensorflow/efficientnet/b5/feature-vector/1", 456, 64),
+    ("EfficientNet B6", "https://tfhub.dev/tensorflow/efficientnet/b6/feature-vector/1", 528, 8),
+    ("EfficientNet B7", "https://tfhub.dev/tensorflow/efficientnet/b7/feature-vector/1", 600, 16),
+]
+#: Predefined text models: name, address, batch size.
+TEXT_MODELS = [
+    ("ELMo", "https://tfhub.dev/google/elmo/3", 2),
+    ("NNLM 50", "https://tfhub.dev/google/nnlm-en-dim50/2", 2048),
+    ("NNLM 50 Normalization", "https://tfhub.dev/google/nnlm-en-dim50-with-normalization/2", 2048),
+    ("NNLM 128", "https://tfhub.dev/google/nnlm-en-dim128/2", 2048),
+    ("NNLM 128 Normalization", "https://tfhub.dev/google/nnlm-en-dim128-with-normalization/2", 2048),
+    ("Universal Sentence Encoder", "https://tfhub.dev/google/universal-sentence-encoder/4", 2048),
+    ("Universal Sentence Encoder Large", "https://tfhub.dev/google/universal-sentence-encoder-large/5", 16),
+]
 
 
 #: Labels derived from the features of a package.
@@ -100,16 +111,21 @@ DERIVED: dict[str, Callable[[], Column]] = {
 
 
 def names() -> list[str]:
-    return [row[0] for row in _lines(BENCHMARK)]
+    return [d.name for d in BENCHMARK]
 
 
-def splits_of(name: str) -> dict[str, list[R.Part]]:
-    row = next((r for r in _lines(BENCHMARK) if r[0] == name), None)
-    if row is None:
+def dataset_of(name: str) -> Dataset:
+    held = next((d for d in BENCHMARK if d.name == name), None)
+    if held is None:
         raise ValueError(f"no such dataset: {name}")
-    if row[2] == "own":
+    return held
+
+
+def splits_of(name: str) -> dict[str, list[R.Part]]:
+    held = dataset_of(name)
+    if held.kind == "own":
         return {split: [R.Part(split, 0, n)] for split, n in OWN_SPLITS[name].items()}
-    return R.split_parts(row[2], *(int(x or 0) for x in row[3:6]))
+    return R.split_parts(held.kind, held.rows, held.train, held.validation)
 
 
 def read_named(spark: SparkSession, root: str, name: str, split: str) -> DataFrame:
@@ -117,18 +133,18 @@ def read_named(spark: SparkSession, root: str, name: str, split: str) -> DataFra
     parts = splits_of(name)
     if split not in parts:
         raise ValueError(f"{name} has no split {split}")
-    row = next(r for r in _lines(BENCHMARK) if r[0] == name)
-    held = {p.split: spark.read.parquet(f"{root}/{row[1].split(':')[0]}/{p.split}") for p in parts[split]}
-    df = R.read_split(held, parts[split])
-    return df.withColumn("label", DERIVED[row[6]]()) if row[6] else df
+    held = dataset_of(name)
+    folder = f"{root}/{held.package.split(':')[0]}"
+    df = R.read_split({p.split: spark.read.parquet(f"{folder}/{p.split}") for p in parts[split]}, parts[split])
+    return df.withColumn("label", DERIVED[held.derived]()) if held.derived else df
 
 
 def image_models(spark: SparkSession) -> DataFrame:
     """Catalog rows of the predefined image models; sizes known, parameters not."""
-    rows = [(f'{{"image_size":{s},"name":"{n}","url":"{u}"}}', int(b), int(s), "TensorFlow") for n, u, s, b in _lines(IMAGE_MODELS)]
+    rows = [(f'{{"image_size":{s},"name":"{n}","url":"{u}"}}', b, s, "TensorFlow") for n, u, s, b in IMAGE_MODELS]
     return spark.createDataFrame(rows, "json_model string, batch_size long, image_size long, source string")
 
 
 def text_models(spark: SparkSession) -> DataFrame:
-    rows = [(f'{{"name":"{n}","url":"{u}"}}', int(b), "TensorFlow") for n, u, b in _lines(TEXT_MODELS)]
+    rows = [(f'{{"name":"{n}","url":"{u}"}}', b, "TensorFlow") for n, u, b in TEXT_MODELS]
     return spark.createDataFrame(rows, "json_model string, batch_size long, source string")
