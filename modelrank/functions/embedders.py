@@ -60,6 +60,13 @@ def register(embedder: VectorEmbedder) -> None:
     REGISTRY[embedder.name] = embedder
 
 
+def described(model: str) -> str:
+    """What an embedder computes, as text: the same for equal expressions, whatever their lambdas are numbered."""
+    if model not in REGISTRY:
+        return model
+    return re.sub(r"_[0-9]+", "", str(REGISTRY[model].expression(F.col("embed"))))
+
+
 def check_types(reader_type: str, model_type: str) -> None:
     """A model for images doesn't take text, nor the other way round; OTHER goes with all."""
     if OTHER not in (reader_type, model_type) and reader_type != model_type:

@@ -35,3 +35,22 @@ def any_of(df: DataFrame, conditions: list[Column]) -> DataFrame:
     for c in conditions[1:]:
         out = out.unionAll(df.filter(c))
     return out
+
+
+def is_in(column: Column, values: list) -> Column:
+    """Membership of a short list; nulls never are members."""
+    return F.coalesce(column.isin(values), F.lit(False))
+
+
+def at_indices(df: DataFrame, indices: list[int], keep: bool = True, idx: str = "row_idx") -> DataFrame:
+    """Rows whose number is in a set, or all others; the set is as long as the statement that has it."""
+    return df.filter(is_in(F.col(idx), indices) if keep else ~is_in(F.col(idx), indices))
+
+
+def counted(df: DataFrame, condition: Column, stated: int) -> DataFrame:
+    """Rows that meet a condition, of which there must be as many as stated."""
+    out = df.filter(F.coalesce(condition, F.lit(False)))
+    n = out.count()
+    if n != stated:
+        raise ValueError(f"{stated} rows were stated, {n} meet the condition")
+    return out

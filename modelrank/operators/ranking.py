@@ -50,12 +50,12 @@ def running_mean(df: DataFrame, by: list[str], order_by: str, value: str, weight
     return df.withColumn("running", F.sum(F.col(value) * F.col(weight)).over(w) / F.sum(weight).over(w))
 
 
-def in_order(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+def in_order(df: DataFrame, column: str, values: list[str], tie: str | None = None) -> DataFrame:
     """Rows by a given order of a column's values, others last."""
     place = F.lit(len(values))
     for i, v in reversed(list(enumerate(values))):
         place = F.when(F.col(column) == v, i).otherwise(place)
-    return df.orderBy(place, column)
+    return df.orderBy(place, column, *([tie] if tie else []))
 
 
 def matrix(df: DataFrame, row: str, column: str, value: str, columns: list[str] | None = None) -> DataFrame:

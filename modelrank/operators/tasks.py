@@ -92,6 +92,16 @@ def by_attribute(tasks: DataFrame, groups: DataFrame) -> DataFrame:
     return held.groupBy("task_id", "image").agg(F.array_sort(F.collect_set("new_label")).alias("labels"))
 
 
+def by_taxonomy(tasks: DataFrame, levels: DataFrame, names: list[str]) -> DataFrame:
+    """(level, task_id, image, labels): a task for each level of a taxonomy;
+    ``levels`` has label and, for each level, the group that it is in."""
+    out = None
+    for name in names:
+        one = by_attribute(tasks, levels.select("label", F.col(name).alias("group"))).select(F.lit(name).alias("level"), "task_id", "image", "labels")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def single_label(tasks: DataFrame) -> DataFrame:
     """Without the images that have more than one label."""
     return tasks.filter(F.size("labels") == 1)

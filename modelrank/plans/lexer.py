@@ -8,7 +8,7 @@ from dataclasses import dataclass
 #: Words that mean something; case doesn't matter.
 KEYWORDS = frozenset(
     "select rank from where order by asc desc trained tested on classified limit other than chunk budget auto and or not finetuned between is null as distinct "
-    "explain json declare print register dataset values finetune with use purge benchmark task change to".split()
+    "explain json declare print register dataset values finetune with use purge benchmark task change to in".split()
 )
 TOKEN = re.compile(
     r"""\s*(?:(?P<string>'[^']*'|"[^"]*"|`[^`]*`)|(?P<number>[0-9]+(?:\.[0-9]+)?)(?P<scale>[KMB]\b)?|(?P<word>[A-Za-z][A-Za-z0-9_]*)|(?P<op><>|<=|>=|!=|==|[=<>(),;*.\[\]-]))"""

@@ -27,6 +27,13 @@ class Between:
     high: Any
 
 
+@dataclass(frozen=True)
+class In:
+    column: str
+    values: tuple
+    negated: bool = False
+
+
 @dataclass(frozen=True)
 class IsNull:
     column: str

@@ -6,7 +6,7 @@ import re
 from typing import Any
 
 from .lexer import StatementError, Token, tokens
-from .nodes import Between, Both, Change, Classifier, Compare, Declare, Either, Explain, Finetune, Finetuned, IsNull, Order, Output, Print, Purge, Reader, Readers, Register, Select, Use
+from .nodes import Between, Both, Change, Classifier, Compare, Declare, Either, Explain, Finetune, Finetuned, In, IsNull, Order, Output, Print, Purge, Reader, Readers, Register, Select, Use
 
 FUNCTIONS = ("sum", "avg", "min", "max")
 #: Names that a variable can't have.
@@ -218,6 +218,10 @@ class Parser:
             low = self.value()
             self.need("and")
             return Between(column, low, self.value())
+        outside = bool(self.take("not"))
+        if outside or self.now.value == "in":
+            self.need("in")
+            return In(column, tuple(self.listed(self.value, ")" if self.need("(", "[") == "(" else "]")), outside)
         if self.take("is"):
             negated = bool(self.take("not"))
             self.need("null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters
 from .lexer import StatementError
-from .nodes import Between, Both, Compare, Either, Finetuned, IsNull
+from .nodes import Between, Both, Compare, Either, Finetuned, In, IsNull
 
 COMPARE = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 
@@ -36,6 +36,9 @@ def condition(df: DataFrame, node: Any, strict: bool = False) -> Column:
     if isinstance(node, IsNull):
         c = c if c is not None else F.get_json_object("json_model", f"$.{node.column}")
         return c.isNotNull() if node.negated else c.isNull()
+    if isinstance(node, In):
+        c = c if c is not None else F.get_json_object("json_model", f"$.{node.column}")
+        return c.isNotNull() & ~filters.is_in(c, list(node.values)) if node.negated else filters.is_in(c, list(node.values))
     if isinstance(node, Between):
         if c is None:
             raise StatementError(f"no such column: {node.column}")

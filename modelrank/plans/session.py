@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import embedders, identity
 from ..operators import filters, halving, neighbours, overlay, ranking, similarity
 from ..operators.linear import EPOCHS, LEARNING_RATE, linear_probe
-from ..sources.catalog import Catalog, register_models, register_readers
+from ..sources.catalog import Catalog, finetuned_model, register_models, register_readers
+from ..sources.scratch import kept
 from . import predicates
 from .lexer import StatementError
 from .nodes import Classifier, Declare, Explain, Finetune, Output, Print, Purge, Reader, Readers, Register, Select, Use
@@ -26,7 +27,7 @@ LINEAR = "Linear"
 
 def random_extension(models: DataFrame, train: list[DataFrame], test: list[DataFrame], seed: int = 0) -> DataFrame:
     """Models in an order that the seed deals, each with error -1."""
-    return models.select("json_model", F.lit(-1.0).alias("err"), F.xxhash64(F.lit(seed), "json_model").alias("__order"))
+    return models.select("json_model", F.lit(-1.0).alias("err"), F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), "json_model"), 256).alias("__order"))
 
 
 class Session:
@@ -36,6 +37,12 @@ class Session:
     (that of an embedder).  ``readers``: name -> DataFrame (row_idx, embed,
     label).  ``catalog``: where known results live; without one, answers are
     kept for the session only.
+
+    An answer is known by what it was computed from: the rows of its datasets
+    (a hash over all of them, taken once), the edits, and what the embedders
+    do.  It is written once and read back, and so are the nearest neighbours
+    behind it; edits of labels alone, last in a dataset's list, are put over
+    stored neighbours and no distance is computed.
     """
 
     def __init__(self, spark: SparkSession, catalog: str | None = None, strict: bool = False):
@@ -47,14 +54,27 @@ class Session:
         self.embeddings: dict[str, DataFrame] = {}  # probe -> (task, hessian, scale)
         self.extensions: dict[str, Extension] = {"random": random_extension}
         self.trainer: Callable[[str, list[str], float, int], dict] | None = None
-        self._known: dict[str, DataFrame] = {}
+        self._known: dict[str, DataFrame] = {}  # key of a question -> its stored answer
+        self._nearest: dict[str, DataFrame] = {}  # key of both sides -> stored neighbours
+        self._contents: dict[str, str] = {}  # dataset -> hash of its rows
 
     # -- relations
     def add_models(self, name: str, df: DataFrame) -> None:
         self.tables[name] = df
 
     def add_reader(self, name: str, df: DataFrame) -> None:
+        """A dataset; one that had the name before is replaced."""
         self.readers[name] = df
+        self._contents.pop(name, None)
+
+    def content(self, name: str) -> str:
+        """A hash of all rows of a dataset, in any order: one pass, once for each dataset."""
+        if name not in self._contents:
+            df = self.readers[name]
+            row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+            n, total, mixed = df.agg(F.count("*"), F.sum(row.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(row, F.lit(1)))).first()
+            self._contents[name] = f"{n}:{total}:{mixed}"
+        return self._contents[name]
 
     def add_extension(self, name: str, f: Extension) -> None:
         self.extensions[name] = f
@@ -103,8 +123,8 @@ class Session:
 
     def neighbours(self, model: str, train: list[str], test: list[str], classifier: str = neighbours.EUCLIDEAN) -> DataFrame:
         """The nearest training row of every test row under one model."""
-        held = (embedders.embed(self.combined(Readers(tuple(map(Reader, x)))), [model]) for x in (test, train))
-        return neighbours.nearest(*held, classifier)
+        sides = [Readers(tuple(map(Reader, x))) for x in (train, test)]
+        return self.found(*sides, [model], classifier)
 
     def task_distance(self, probe: str, distance: str = "cosine") -> DataFrame:
         return similarity.pdist(self.embeddings[probe], distance)
@@ -185,13 +205,27 @@ class Session:
             key = identity.content_hash(list(node.readers), model, learning_rate, epochs)
             done = self.trainer(model, list(node.readers), learning_rate, epochs) if self.trainer else None
             rows.append((key, model, list(node.readers), learning_rate, epochs, json.dumps(done) if done else None))
+            if done:
+                self.completed(model, list(node.readers), learning_rate, epochs)
         out = self.spark.createDataFrame(rows, "job_hash string, json_model string, json_readers array<string>, learning_rate double, epochs long, result string")
         if self.catalog:
             self.catalog.append("finetune_jobs", out.drop("result"))
         return out
 
+    def completed(self, base: str, readers: list[str], learning_rate: float, epochs: int) -> str:
+        """Put a fine-tuned model beside its base, if a catalog has that; its json_model."""
+        new = identity.canonical({"base": base, "epochs": epochs, "learning_rate": learning_rate, "readers": readers})
+        names = [*self.tables, *(("image_models", "text_models") if self.catalog else ())]
+        for name in names:
+            held = self.relation(name)
+            if "json_model" in held.columns and held.filter(F.col("json_model") == base).limit(1).count():
+                self.register_models(name, finetuned_model(held, base, new), True)
+                return new
+        return new
+
     def purge(self) -> None:
         self._known.clear()
+        self._nearest.clear()
         self.spark.catalog.clearCache()
         if self.catalog:
             self.catalog.purge()
@@ -235,7 +269,7 @@ class Session:
         base, changes = self.readers[reader.name], None
         for seq, c in enumerate(reader.changes):
             other = self.readers[c.reader]
-            some = overlay.edits(seq, other, list(c.base_indices), list(c.change_indices), "embed" in other.columns, "label" in other.columns)
+            some = overlay.edits(seq, other, list(c.base_indices), list(c.change_indices), "embed" in other.columns, "label" in other.columns, base)
             changes = some if changes is None else changes.unionByName(some)
         return base if changes is None else overlay.apply_overlay(base, changes)
 
@@ -271,19 +305,16 @@ class Session:
         return out.orderBy("classifier", "rank").drop("rank", "model")
 
     def answer(self, q: Select, c: Any, names: list[str], test: Readers) -> DataFrame:
-        """(model, classifier, err ...): known answers are looked up, the rest computed and remembered."""
+        """(model, classifier, err ...): known answers are looked up, the rest is computed, written once and remembered."""
         halved = q.chunk is not None or q.budget is not None
         key, lists = self._key(q, c, names, test)
         if key in self._known:
             return self._known[key]
-        if self.catalog and not halved:
-            found = {r.model_json: r.value for r in self._known_of(c.value, names, lists).collect()}
-        else:
-            found = {}
+        found = {r.model_json: r.value for r in self._known_of(c.value, names, lists).collect()} if self.catalog and not halved else {}
         left = [n for n in names if n not in found]
         out = self.spark.createDataFrame(sorted(found.items()), "model string, err double")
         if left:
-            new = self.compute(q, c, left, test, halved)
+            new = kept(self.compute(q, c, left, test, halved), "answer")
             out = new if not found else out.unionByName(new.select("model", "err"))
             if self.catalog and not halved:
                 rows = new.select(F.lit("classify").alias("job_type"), F.lit(c.value).alias("classifier_type"), F.col("model").alias("model_json"), *[F.array(*map(F.lit, x)).alias(n) for n, x in zip(("train_readers_json", "test_readers_json"), lists)], F.lit(key).alias("classifier_job_hash"), F.col("err").alias("value"))
@@ -292,25 +323,58 @@ class Session:
         self._known[key] = out
         return out
 
-    @staticmethod
-    def _key(q: Select, c: Any, names: list[str], test: Readers) -> tuple[str, list[list[str]]]:
+    def _text(self, r: Reader) -> str:
+        """A dataset with its edits as canonical text: names, and what the rows were."""
+        changes = [[x.reader, self.content(x.reader), list(x.base_indices), list(x.change_indices)] for x in r.changes]
+        return identity.canonical({"name": r.name, "content": self.content(r.name), "changes": changes})
+
+    def _key(self, q: Select, c: Any, names: list[str], test: Readers) -> tuple[str, list[list[str]]]:
         """What makes a question the same, and the canonical texts of both sides' datasets."""
-        lists = [[identity.canonical({"name": r.name, "changes": [[x.reader, list(x.base_indices), list(x.change_indices)] for x in r.changes]}) for r in x.readers] for x in (q.trained, test)]
+        for r in (*q.trained.readers, *test.readers):
+            for name in (r.name, *(x.reader for x in r.changes)):
+                if name not in self.readers:
+                    raise StatementError(f"no such dataset: {name}")
+        lists = [[self._text(r) for r in x.readers] for x in (q.trained, test)]
+        lists[1].append(identity.content_hash([embedders.described(n) for n in names]))  # what the models do is part of the question
         return identity.content_hash(c.value, *lists, names, str(q.chunk), str(q.budget)), lists
 
     def _known_of(self, classifier: str, names: list[str], lists: list[list[str]]) -> DataFrame:
         train, test = (F.array(*map(F.lit, x)) for x in lists)
         return self.catalog.table("known_results").filter((F.col("classifier_type") == classifier) & F.col("model_json").isin(names) & (F.col("train_readers_json") == train) & (F.col("test_readers_json") == test))
 
+    def _closing(self, side: Readers) -> tuple[Readers, DataFrame | None]:
+        """The datasets without the edits of labels alone that close their lists, and these edits."""
+        stems, edits = [], None
+        for i, r in enumerate(side.readers):
+            first, _ = overlay.closing_label_edits(["embed" not in self.readers[x.reader].columns for x in r.changes])
+            stems.append(Reader(r.name, r.changes[:first]))
+            for seq, x in enumerate(r.changes[first:]):
+                some = overlay.edits(seq, self.readers[x.reader], list(x.base_indices), list(x.change_indices), False, True, self.readers[r.name])
+                some = some.select("seq", F.lit(i).alias("reader_idx"), F.col("base_idx").alias("idx"), "label")
+                edits = some if edits is None else edits.unionByName(some)
+        return Readers(tuple(stems), side.benchmark), edits
+
+    def found(self, train: Readers, test: Readers, names: list[str], metric: str) -> DataFrame:
+        """The nearest neighbours of both sides, stored ones where there are any, under their edited labels."""
+        (train, train_edits), (test, test_edits) = self._closing(train), self._closing(test)
+        key = identity.content_hash(metric, *[[self._text(r) for r in x.readers] for x in (train, test)], [[n, embedders.described(n)] for n in names])
+        if key not in self._nearest:
+            sides = [embedders.embed(self.combined(x), names) for x in (test, train)]
+            self._nearest[key] = kept(neighbours.nearest(*sides, metric), "neighbours")
+        out = self._nearest[key]
+        for edits, side in ((train_edits, "train"), (test_edits, "test")):
+            out = out if edits is None else overlay.relabel(out, edits, side)
+        return out
+
     def compute(self, q: Select, c: Any, names: list[str], test: Readers, halved: bool) -> DataFrame:
+        if not halved and c.name != LINEAR:
+            return neighbours.errors(self.found(q.trained, test, names, c.name), "model")
         train, held = (embedders.embed(self.combined(x), names) for x in (q.trained, test))
         if halved:
             chunk, budget = (None if x in (None, "auto") else x for x in (q.chunk, q.budget))
             return halving.successive_halving(held, train, names, chunk, budget, c.name)
-        if c.name == LINEAR:
-            params = dict(c.params)
-            return linear_probe(train, held, float(params.get("learning_rate", LEARNING_RATE)), int(params.get("num_epochs", EPOCHS)))
-        return neighbours.errors(neighbours.nearest(held, train, c.name), "model")
+        params = dict(c.params)
+        return linear_probe(train, held, float(params.get("learning_rate", LEARNING_RATE)), int(params.get("num_epochs", EPOCHS)))
 
     def task_matrix(self, q: Select) -> DataFrame:
         """SELECT vec FROM readers WHERE probe = x: distances of all tasks that have an embedding."""

@@ -36,7 +36,12 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str, overwrite: tuple[str, ...] = (), insert_only: tuple[str, ...] = ()) -> DataFrame:
     """New values win where they are given.  ``overwrite`` columns take the new
     value even if it is null; ``insert_only`` columns stay as they are for keys
-    that exist."""
+    that exist.  Of several new rows of one key the last in order of their
+    values' JSON counts, so the outcome doesn't depend on partitions."""
+    if rest := [c for c in new.columns if c != key]:
+        new = new.groupBy(key).agg(F.max_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("__r")).select(key, "__r.*")
+    else:
+        new = new.distinct()
     columns = [c for c in old.columns if c != key]
     a, b = old.withColumn("__old", F.lit(True)).alias("a"), new.withColumn("__new", F.lit(True)).alias("b")
     there, came = F.col("a.__old").isNotNull(), F.col("b.__new").isNotNull()
@@ -72,13 +77,19 @@ def finetuned_model(models: DataFrame, base: str, json_model: str) -> DataFrame:
     row = models.filter(F.col("json_model") == base)
     if not row.limit(1).count():
         raise ValueError(f"no such model: {base}")
-    return row.withColumn("json_model", F.lit(json_model)).withColumn("tag", F.array(F.lit(FINETUNED))).withColumn("date_added", F.current_date())
+    out = row.withColumn("json_model", F.lit(json_model)).withColumn("tag", F.array(F.lit(FINETUNED)))
+    return out.withColumn("date_added", F.current_date()) if "date_added" in models.columns else out
 
 
 def readers_of_model(jobs: DataFrame, json_model: str) -> DataFrame:
     return jobs.filter(F.col("json_model") == json_model).select("json_reader").distinct()
 
 
+def readers_by_model(jobs: DataFrame) -> DataFrame:
+    """(json_model, readers): the datasets that each model has read, in order."""
+    return jobs.groupBy("json_model").agg(F.array_sort(F.collect_set("json_reader")).alias("readers"))
+
+
 def models_of_reader(image_jobs: DataFrame, text_jobs: DataFrame, json_reader: str) -> DataFrame:
     both = [j.filter(F.col("json_reader") == json_reader).select("json_model") for j in (image_jobs, text_jobs)]
     return both[0].unionByName(both[1]).distinct()
@@ -123,12 +134,32 @@ class Catalog:
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """A new version; the one before stays for readers that still use it."""
         version = (self._versions(name) or [0])[-1] + 1
-        columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS[name])]
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version:08d}")
+        df.select(*self._columns(name, df)).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version:08d}")
         return self.table(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        return self.save(name, self.table(name).unionByName(df, allowMissingColumns=True))
+        """New files beside those of the present version; what is there isn't read.  Spark
+        commits them together, and several writers may append at a time."""
+        versions = self._versions(name)
+        if not versions:
+            return self.save(name, df)
+        df.select(*self._columns(name, df)).write.mode("append").parquet(f"{self.folder}/{name}/v{versions[-1]:08d}")
+        return self.table(name)
+
+    def compact(self, name: str, files: int = 1) -> DataFrame:
+        """The present version in few files, as a new one; older versions go."""
+        out = self.save(name, self.table(name).coalesce(files))
+        self.clean(name)
+        return out
+
+    def clean(self, name: str) -> None:
+        """Delete all versions but the last; nobody may still read them."""
+        for version in self._versions(name)[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/v{version:08d}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _columns(self, name: str, df: DataFrame) -> list[Column]:
+        return [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS[name])]
 
     def purge(self) -> None:
         """Forget all results; models and datasets stay."""

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
@@ -86,7 +86,7 @@ def balanced_sample(df: DataFrame, n: int, key: str, label: str = "label", seed:
     """About ``n`` rows with classes alike, with replacement: each row comes as
     often as its weight says, and once more by a draw that the seed fixes."""
     expected = F.col("weight") * n
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod((F.col(key) + F.lit(seed)) * F.lit(2654435761), F.lit(1 << 32)) / F.lit(float(1 << 32))
     times = (F.floor(expected) + F.when(draw < expected - F.floor(expected), 1).otherwise(0)).cast("int")
     return class_weights(df, label).withColumn("__t", times).filter("__t > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__t")))).drop("__t", "weight")
 
@@ -273,7 +273,3 @@ def check_indices(indices: list[int]) -> None:
     """Indices of an edit begin at 0 or later and ascend."""
     if any(i < 0 for i in indices) or any(b <= a for a, b in zip(indices, indices[1:])):
         raise ValueError("indices must be 0 or more and ascend")
-
-
-def ranked_windows(partition: list[str], order: list) -> Window:
-    return Window.partitionBy(*partition).orderBy(*order)
