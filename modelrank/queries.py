@@ -111,10 +111,10 @@ def restrict_null_range(spark, d):
     return m.filter(filters.in_range(F.col("size"), 4, 30))
 
 
-@query(f"WITH {CATALOG_SQL} SELECT name, size FROM (SELECT name, CASE WHEN image_size % 7 <> 0 THEN NULL ELSE image_size END AS size FROM models) ORDER BY size ASC NULLS LAST, name LIMIT 500")
+@query(f"WITH {CATALOG_SQL} SELECT name, size, row_number() OVER (ORDER BY size ASC NULLS LAST, name) - 1 AS place FROM (SELECT name, CASE WHEN image_size % 7 <> 0 THEN NULL ELSE image_size END AS size FROM models)")
 def order_nulls_last(spark, d):
     m = model_catalog(spark, d).select("name", F.when(F.col("image_size") % 7 == 0, F.col("image_size")).alias("size"))
-    return ranking.limit(ranking.order(m, "size", tie="name"), 500)
+    return R.with_row_idx(ranking.order(m, "size", tie="name"), name="place")
 
 
 @query("SELECT p_partkey, p_type FROM part WHERE list_has_any([p_type, p_brand], ['PROMO', 'Brand#13'])")
@@ -207,13 +207,7 @@ def deps_ready_failed(spark, d):
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") != "click", "finished").otherwise("started")
     held = e.select(F.col("user_id").alias("request"), F.col("event_id").alias("dependency"), status.alias("status"))
     out = jobs.dependency_status(held.select("request", "dependency"), held.select("dependency", "status"))
-    return out.select("request", (F.col("ready") | F.col("failed") & F.lit(False)).alias("ready"), "failed")
-
-
-@query("SELECT list(DISTINCT l_suppkey ORDER BY l_suppkey) AS readers, l_partkey % 50 AS model FROM lineitem WHERE l_partkey % 50 < 5 GROUP BY l_partkey % 50")
-def readers_of_models(spark, d):
-    li = table(spark, d, "lineitem").filter("l_partkey % 50 < 5")
-    return li.groupBy((F.col("l_partkey") % 50).alias("model")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("readers"))
+    return out.select("request", "ready", "failed")
 
 
 # -------------------------------------------------------------------- datasets
@@ -332,13 +326,13 @@ def l2_normalize(spark, d):
 
 @query(
     f"""WITH {EMB_SQL}, g AS (SELECT vec_id // 4 AS g, vec_id, v, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS m FROM emb),
-long AS (SELECT g, m, i, v[i] AS x FROM (SELECT g, m, v, unnest(range(1, 9)) AS i FROM g))
+long AS (SELECT g, m, i, v[i] AS x FROM (SELECT g, m, v, unnest(range(1, 65)) AS i FROM g))
 SELECT g, i - 1 AS place, round(coalesce(sum(x) FILTER (WHERE m = 1), 0) / greatest(count(*) FILTER (WHERE m = 1), 1), 9) AS mean FROM long GROUP BY g, i"""
 )
 def masked_mean_pool(spark, d):
     e = embeddings(spark, d).select(F.floor(F.col("row_idx") / 4).cast("long").alias("g"), "row_idx", V.doubles(F.col("embed")).alias("v"), F.when(F.col("row_idx") % 3 == 0, 0).otherwise(1).alias("m"))
     held = e.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("row_idx", "v", "m"))).alias("x"))
-    return held.select("g", F.posexplode(V.masked_mean(F.col("x.v"), F.col("x.m"), 8)).alias("place", "mean")).select("g", F.col("place").cast("long").alias("place"), F.round("mean", 9).alias("mean"))
+    return held.select("g", F.posexplode(V.masked_mean(F.col("x.v"), F.col("x.m"), 64)).alias("place", "mean")).select("g", F.col("place").cast("long").alias("place"), F.round("mean", 9).alias("mean"))
 
 
 # ------------------------------------------------------------------- proxies
@@ -515,62 +509,73 @@ def sh_schedule(spark, d):
 
 
 def _halving_sql() -> str:
-    """Rounds written out: errors on each prefix, and the survivors of each."""
-    parts, left = [EMB_SQL, f"views AS ({' UNION ALL '.join(f'''SELECT '{m}' AS model, vec_id, label, {_view_sql(m)} AS e FROM emb''' for m in MODELS)})", "numbered AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_idx FROM emb WHERE vec_id % 5 <> 0)", "s0 AS (SELECT DISTINCT model FROM views)"], 14
-    stop = 0
-    for k, count, _, total in halving.schedule(56, 14):
-        stop += 10 * total
+    """Rounds written out: errors on each prefix, and the survivors of each.
+
+    Fourteen models take four rounds with 14, 7, 4 and 2 of them, and a budget
+    of 14 * 4 pulls.  A round gives each model left 1, 2, 3 and 7 pulls, so 1,
+    3, 6 and 13 in all; prefixes end after 1, 4, 10 and 23 chunks, and a chunk
+    is a 23rd of the rows."""
+    parts = [EMB_SQL, f"views AS ({' UNION ALL '.join(f'''SELECT '{m}' AS model, vec_id, label, {_view_sql(m)} AS e FROM emb''' for m in MODELS)})", "numbered AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_idx FROM emb WHERE vec_id % 5 <> 0)", "size AS (SELECT count(*) AS n, CAST(ceil(count(*) / 23.0) AS BIGINT) AS chunk FROM numbered)", "s0 AS (SELECT DISTINCT model FROM views)"]
+    for k, (chunks, survivors) in enumerate(((1, 7), (4, 4), (10, 2), (23, 1))):
+        stop = f"(SELECT least(n, {chunks} * chunk) FROM size)"
         parts.append(
             f"""p{k} AS (SELECT a.model, a.vec_id AS t, a.label AS x, b.label AS y, list_distance(a.e, b.e) AS d, n.row_idx FROM views a JOIN s{k} USING (model) JOIN views b ON a.model = b.model JOIN numbered n ON n.vec_id = b.vec_id AND n.row_idx < {stop} WHERE a.vec_id % 5 = 0),
-l{k} AS (SELECT model, {k} AS round, least({stop}, (SELECT count(*) FROM numbered)) AS stop, count(*) FILTER (WHERE x <> y) AS raw_error FROM (SELECT * FROM p{k} QUALIFY row_number() OVER (PARTITION BY model, t ORDER BY d, row_idx) = 1) GROUP BY model),
-s{k + 1} AS (SELECT model FROM l{k} ORDER BY raw_error, model LIMIT {-(-count // 2)})"""
+l{k} AS (SELECT model, {k} AS round, {stop} AS stop, count(*) FILTER (WHERE x <> y) AS raw_error FROM (SELECT * FROM p{k} QUALIFY row_number() OVER (PARTITION BY model, t ORDER BY d, row_idx) = 1) GROUP BY model),
+s{k + 1} AS (SELECT model FROM l{k} ORDER BY raw_error, model LIMIT {survivors})"""
         )
     every = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(4))
     return f"WITH {', '.join(parts)} SELECT model, CAST(round AS INTEGER) AS round, CAST(stop AS BIGINT) AS stop, raw_error FROM ({every}) QUALIFY row_number() OVER (PARTITION BY model ORDER BY round DESC) = 1"
 
 
-@query(_halving_sql())
+HALVING_SQL = _halving_sql()
+
+
+@query(HALVING_SQL)
 def sh_rank(spark, d):
     test, train = sides(spark, d)
     train = R.with_row_idx(train.withColumnRenamed("row_idx", "vec_id"), "vec_id").drop("vec_id")
-    out = halving.successive_halving(embedders.embed(test, MODELS), embedders.embed(train, MODELS), MODELS, chunk=10, budget=56)
+    out = halving.successive_halving(embedders.embed(test, MODELS), embedders.embed(train, MODELS), MODELS)
     return out.select("model", "round", "stop", "raw_error")
 
 
-COSTS_SQL = "costs AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS rank, o_totalprice / 100 AS load_cost, o_totalprice / 100000 AS inference_cost FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 40))"
+COSTS_SQL = """costs AS (SELECT rank, mean / 10000 AS load_cost, mean / 10000000 AS inference_cost FROM (
+  SELECT o_custkey % 40 + 1 AS rank, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) AS mean FROM orders GROUP BY 1)),
+pool AS (SELECT CAST(count(*) AS BIGINT) AS m, CAST(ceil(log2(count(*))) AS BIGINT) AS r FROM costs)"""
 
 
-def costs(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").orderBy("o_orderkey").limit(40)
-    held = R.with_row_idx(o.select("o_orderkey", "o_totalprice"), "o_orderkey", name="rank")
-    return held.select((F.col("rank") + 1).alias("rank"), (F.col("o_totalprice") / 100).alias("load_cost"), (F.col("o_totalprice") / 100000).alias("inference_cost"))
+def costs(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The costs of each model of a pool of which every order is a run, and the size of the pool."""
+    o = table(spark, d, "orders").groupBy((F.col("o_custkey") % 40 + 1).alias("rank")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / F.count("*")).alias("mean"))
+    held = o.select("rank", (F.col("mean") / 10000).alias("load_cost"), (F.col("mean") / 10000000).alias("inference_cost"))
+    return held, held.count()
 
 
-@query(f"WITH {COSTS_SQL} SELECT round(40 * (800 + 700 + 2 * avg(load_cost) + avg(inference_cost) * (5000 + 1000) + 0.1 * 1000) / 4 / 1000, 4) AS seconds FROM costs WHERE rank <= 39")
+@query(f"WITH {COSTS_SQL} SELECT round(any_value(m) * (800 + 700 + 2 * avg(load_cost) + avg(inference_cost) * (5000 + 1000) + 0.1 * 1000) / 4 / 1000, 4) AS seconds FROM costs, pool WHERE rank <= m - 1")
 def cost_sim_nosh(spark, d):
-    return halving.cost_without(costs(spark, d), 40, 5000, 1000, False, 4).select(F.round("seconds", 4).alias("seconds"))
+    held, models = costs(spark, d)
+    return halving.cost_without(held, models, 5000, 1000, False, 4).select(F.round("seconds", 4).alias("seconds"))
 
 
-def _cost_sql() -> str:
-    plan = ", ".join(f"({k}, {left}, {total * 12})" for k, left, _, total in halving.schedule(240, 40))
-    return f"""WITH {COSTS_SQL}, plan(k, s, n) AS (VALUES {plan}), base AS (SELECT avg(load_cost) AS l, avg(inference_cost) AS i FROM costs WHERE rank <= 39),
+COST_SQL = f"""WITH RECURSIVE {COSTS_SQL}, plan AS (SELECT 0 AS k, m AS s, m, r, 240 // (m * r) AS total FROM pool
+  UNION ALL SELECT k + 1, CAST(ceil(s / 2.0) AS BIGINT), m, r, total + 240 // (CAST(ceil(s / 2.0) AS BIGINT) * r) FROM plan WHERE k + 1 < r),
+base AS (SELECT avg(load_cost) AS l, avg(inference_cost) AS i FROM costs, pool WHERE rank <= m - 1),
 r AS (SELECT *, row_number() OVER (ORDER BY load_cost DESC, rank) AS ld, row_number() OVER (ORDER BY load_cost, rank) AS lu, row_number() OVER (ORDER BY inference_cost DESC, rank) AS nd, row_number() OVER (ORDER BY inference_cost, rank) AS nu FROM costs),
-per AS (SELECT k, s, n, least(4, s) AS g, avg(load_cost) FILTER (WHERE ld <= s - 1) AS lx, avg(inference_cost) FILTER (WHERE nd <= s - 1) AS ix, avg(load_cost) FILTER (WHERE lu <= s) AS lm, avg(inference_cost) FILTER (WHERE nu <= s) AS im FROM plan, r GROUP BY k, s, n)
-SELECT round((sum(s * (700 + l + i * n + 5 * 1000 + 800) / g) + any_value(40 * (i * 1000 + 700 + l) / 4)) / 1000, 4) AS seconds_mean,
-  round((sum(s * (700 + lx + ix * n + 5 * 1000) / g) + any_value(40 * (i * 1000 + 700 + l) / 4)) / 1000, 4) AS seconds_max,
-  round((sum(s * (700 + lm + im * n + 5 * 1000) / g) + any_value(40 * (i * 1000 + 700 + l) / 4)) / 1000, 4) AS seconds_min FROM per, base"""
+per AS (SELECT k, s, m, total * 12 AS n, least(4, s) AS g, avg(load_cost) FILTER (WHERE ld <= s - 1) AS lx, avg(inference_cost) FILTER (WHERE nd <= s - 1) AS ix, avg(load_cost) FILTER (WHERE lu <= s) AS lm, avg(inference_cost) FILTER (WHERE nu <= s) AS im FROM (SELECT k, s, m, total FROM plan), r GROUP BY k, s, m, total)
+SELECT round((sum(s * (700 + l + i * n + 5 * 1000 + 800) / g) + any_value(m * (i * 1000 + 700 + l) / 4)) / 1000, 4) AS seconds_mean,
+  round((sum(s * (700 + lx + ix * n + 5 * 1000) / g) + any_value(m * (i * 1000 + 700 + l) / 4)) / 1000, 4) AS seconds_max,
+  round((sum(s * (700 + lm + im * n + 5 * 1000) / g) + any_value(m * (i * 1000 + 700 + l) / 4)) / 1000, 4) AS seconds_min FROM per, base"""
 
 
-@query(_cost_sql())
+@query(COST_SQL)
 def cost_sim_sh(spark, d):
-    out = halving.cost_with(costs(spark, d), 40, 1000, True, 240, 12, 4)
+    out = halving.cost_with(*costs(spark, d), 1000, True, 240, 12, 4)
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
 # ------------------------------------------------------------ similarity of tasks
 
-TASK_SQL = "tasks AS (SELECT label AS task, list_transform(range(1, 17), lambda i: 0.5 + list_avg(list_transform(list(v), lambda w: abs(w[i])))) AS h, list_transform(range(1, 17), lambda i: 1.0 + (label % 3) * 0.25 * (i % 2)) AS s FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) GROUP BY label)"
-PAIRS_SQL = "long AS (SELECT a.task AS f, b.task AS t, i, a.h[i] AS h, b.h[i] AS g, 1 / a.h[i] AS v, 1 / b.h[i] AS w, a.s[i] / a.h[i] AS hs, b.s[i] / b.h[i] AS gs, a.h[i] / (a.h[i] + b.h[i] + 1e-8) AS p, b.h[i] / (a.h[i] + b.h[i] + 1e-8) AS q FROM tasks a, tasks b, (SELECT unnest(range(1, 17)) AS i))"
+TASK_SQL = "tasks AS (SELECT label AS task, list_transform(range(1, 65), lambda i: 0.5 + list_avg(list_transform(list(v), lambda w: abs(w[i])))) AS h, list_transform(range(1, 65), lambda i: 1.0 + (label % 3) * 0.25 * (i % 2)) AS s FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) GROUP BY label)"
+PAIRS_SQL = "long AS (SELECT a.task AS f, b.task AS t, i, a.h[i] AS h, b.h[i] AS g, 1 / a.h[i] AS v, 1 / b.h[i] AS w, a.s[i] / a.h[i] AS hs, b.s[i] / b.h[i] AS gs, a.h[i] / (a.h[i] + b.h[i] + 1e-8) AS p, b.h[i] / (a.h[i] + b.h[i] + 1e-8) AS q FROM tasks a, tasks b, (SELECT unnest(range(1, 65)) AS i))"
 _COS = "1 - sum({0} * {1}) / (sqrt(sum({0} * {0})) * sqrt(sum({1} * {1})))"
 _KL = "0.5 * ({0} / {1} - 1 + ln({1}) - ln({0}))"
 DISTANCE_SQL = {
@@ -585,7 +590,7 @@ DISTANCE_SQL = {
 
 
 def task_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    long = embeddings(spark, d).select("label", F.posexplode(V.prefix(V.doubles(F.col("embed")), 16)).alias("i", "x"))
+    long = embeddings(spark, d).select("label", F.posexplode(V.doubles(F.col("embed"))).alias("i", "x"))
     means = long.groupBy("label", "i").agg((F.avg(F.abs("x")) + 0.5).alias("h"))
     held = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
     scale = F.transform(F.col("x.i"), lambda i: F.lit(1.0) + (F.col("label") % 3) * 0.25 * ((i + 1) % 2))
@@ -606,13 +611,13 @@ for _d, _sql in DISTANCE_SQL.items():
     _distance(_d, _sql)
 
 
-@query(f"WITH {TASK_SQL}, {PAIRS_SQL}, x AS (SELECT f, t, CASE WHEN f = t THEN 0 ELSE {DISTANCE_SQL['cosine']} END AS d FROM long GROUP BY f, t) SELECT f AS task_from, " + ", ".join(f'round(any_value(d) FILTER (WHERE t = {i}) + 0.0, 6) AS "to_{i}"' for i in range(3)) + " FROM x GROUP BY f")
+@query(f"WITH {TASK_SQL}, {PAIRS_SQL}, x AS (SELECT f, t, CASE WHEN f = t THEN 0 ELSE {DISTANCE_SQL['cosine']} END AS d FROM long GROUP BY f, t) SELECT f AS task_from, " + ", ".join(f'round(any_value(d) FILTER (WHERE t = {i}) + 0.0, 6) AS "to_{i}"' for i in range(10)) + " FROM x GROUP BY f")
 def dist_matrix_pivot(spark, d):
     s = Session(spark)
     s.add_models("readers", spark.createDataFrame([("any",)], "name string"))
     s.embeddings["probe"] = task_embeddings(spark, d)
     out = s.sql("SELECT vec FROM readers WHERE probe = 'probe';")
-    return out.select("task_from", *[F.round(F.col(str(i)) + 0.0, 6).alias(f"to_{i}") for i in range(3)])
+    return out.select("task_from", *[F.round(F.col(str(i)) + 0.0, 6).alias(f"to_{i}") for i in range(10)])
 
 
 @query(f"WITH {TASK_SQL}, {PAIRS_SQL}, x AS (SELECT f, t, {DISTANCE_SQL['normalized_cosine']} AS d FROM long WHERE f <> t GROUP BY f, t) SELECT f AS task_from, t AS task_to FROM x QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(d, 12), t) = 1")
@@ -712,7 +717,8 @@ def running_average(spark, d):
     return out.select("task", "model", F.round("running", 6).alias("running"))
 
 
-LEEP_SQL = f"""{EMB_SQL}, o AS (SELECT 'prefix' || CAST(k AS VARCHAR) AS model, vec_id, label, k, list_transform(v[1:k], lambda x: exp(x) / list_sum(list_transform(v[1:k], lambda y: exp(y)))) AS p FROM emb, (VALUES (4), (8)) m(k)),
+LEEP_SQL = f"""{EMB_SQL}, e0 AS (SELECT 'whole' AS model, vec_id, label, v FROM emb UNION ALL SELECT 'stride4', vec_id, label, [v[i] FOR i IN range(1, len(v) + 1) IF (i - 1) % 4 = 0] FROM emb),
+o AS (SELECT model, vec_id, label, len(v) AS k, list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda y: exp(y)))) AS p FROM e0),
 l AS (SELECT model, vec_id, label, z, p[z] AS p FROM (SELECT *, unnest(range(1, k + 1)) AS z FROM o)),
 j AS (SELECT model, label, z, sum(p) AS j FROM l GROUP BY ALL), m AS (SELECT model, z, sum(j) AS m FROM j GROUP BY ALL),
 e AS (SELECT l.model, vec_id, sum(p * j / m) AS e FROM l JOIN j USING (model, label, z) JOIN m USING (model, z) GROUP BY ALL)"""
@@ -722,19 +728,13 @@ e AS (SELECT l.model, vec_id, sum(p * j / m) AS e FROM l JOIN j USING (model, la
 def leep(spark, d):
     e = embeddings(spark, d)
     out = None
-    for k in (4, 8):
-        v = V.prefix(V.doubles(F.col("embed")), k)
-        one = e.select(F.lit(f"prefix{k}").alias("model"), F.col("row_idx").alias("row"), "label", V.softmax(v).alias("probs"))
+    whole = V.doubles(F.col("embed"))
+    for name, v in (("whole", whole), ("stride4", V.stride(whole, 4))):
+        one = e.select(F.lit(name).alias("model"), F.col("row_idx").alias("row"), "label", V.softmax(v).alias("probs"))
         out = one if out is None else out.unionByName(one)
     return strategies.leep(out).select("model", F.round("leep", 6).alias("leep"))
 
 
-@query(None)
-def extension_random(spark, d):
-    s = ranking_session(spark, d)
-    return s.sql("RANK * FROM models ORDER BY err TRAINED ON 'emb-train' TESTED ON 'emb-test' BY 'random(seed=42)' LIMIT 5;")
-
-
 # ------------------------------------------------------- algebra of label spaces
 
 _TASKS_SQL = """named AS (SELECT 0 AS task_id, doc_id AS image, [CASE WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END] AS labels FROM documents
@@ -811,3 +811,7 @@ def events_by_window(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rank_models_err"](spark, sf_dir)
+
+
+# registers the rest; it needs what is above
+from . import catalog_queries  # noqa: E402, F401

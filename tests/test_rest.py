@@ -147,7 +147,7 @@ def test_label_edits_as_a_stream(spark, tmp_path):
 def test_registered_queries_have_sql():
     from modelrank.queries import ORACLES, QUERIES
 
-    assert set(ORACLES) <= set(QUERIES) and set(QUERIES) - set(ORACLES) == {"linear_probe", "extension_random"}
+    assert set(ORACLES) <= set(QUERIES) and set(QUERIES) - set(ORACLES) == {"linear_probe"}
     assert json.dumps(sorted(QUERIES))
 
 
