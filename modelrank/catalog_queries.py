@@ -14,8 +14,8 @@ from .queries import (
     _NAMES, _TASKS_SQL, CATALOG_SQL, HALVING_SQL, ITEMS_SQL, MODELS, RECORDS_SQL, TASK_SQL, _nearest_sql, catalog_session, embeddings, items, model_catalog, query, ranking_session, records, sides, table, task_embeddings, two_tasks,
 )
 from .sources import catalog as C
+from .sources import named, scratch
 from .sources import readers as R
-from .sources import scratch
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -461,6 +461,20 @@ def task_taxonomy(spark, d):
     return out.select("level", "image", F.col("labels")[0].alias("label"))
 
 
+@query("""WITH c AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment FROM customer)
+SELECT 'nation' AS level, c_custkey AS image, CAST(dense_rank() OVER (ORDER BY nation) - 1 AS INTEGER) AS label FROM c UNION ALL SELECT 'segment', c_custkey, CAST(dense_rank() OVER (ORDER BY segment) - 1 AS INTEGER) FROM c""")
+def attribute_tasks(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return named.attribute_tasks(c, ["nation", "segment"], "c_custkey").select("level", "image", F.col("labels")[0].alias("label"))
+
+
+@query("SELECT n_nationkey AS row_idx, n_regionkey AS label FROM nation")
+def read_whole_dataset(spark, d):
+    root = folder(spark, "datasets")
+    table(spark, d, "nation").select(F.col("n_nationkey").alias("row_idx"), F.col("n_regionkey").alias("label")).write.parquet(f"{root}/usps/test")
+    return named.read_whole(spark, root, "USPS", "test")
+
+
 @query("SELECT vec_id AS base_idx, CAST((label + 1) % 10 AS BIGINT) AS label FROM embeddings WHERE vec_id IN (3, 6, 9)")
 def edits_of_labels_alone(spark, d):
     base = embeddings(spark, d)

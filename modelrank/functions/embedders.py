@@ -109,6 +109,22 @@ def tokenise(text: str, length: int) -> np.ndarray:
     return out
 
 
+def library_tokeniser(path: str, length: int, pad_id: int = 0) -> Callable[[str], np.ndarray]:
+    """The same with the ids, mask and types that a tokenizer file gives, special
+    tokens included; needs the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    held = Tokenizer.from_file(path)
+    held.enable_truncation(length)
+    held.enable_padding(pad_id=pad_id, length=length)
+
+    def run(text: str) -> np.ndarray:
+        e = held.encode(text or "")
+        return np.array([e.ids, e.attention_mask, e.type_ids], np.int64)
+
+    return run
+
+
 @dataclass
 class HashedText:
     """Hashed bag of words at unit length."""

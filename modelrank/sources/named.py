@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -98,6 +98,41 @@ TEXT_MODELS = [
 ]
 
 
+#: Datasets whose splits are taken whole, as published: name, package, splits.
+WHOLE = [
+    ("QMNIST", "qmnist", ("train", "test", "test10k", "test50k", "nist")),
+    ("USPS", "usps", ("train", "test")),
+    ("MNIST", "mnist", ("train", "test")),
+    ("iNaturalist 2018", "inat2018", ("train", "val")),
+    ("CUB-200 2011", "cub", ("train", "test")),
+    ("iMaterialist Fashion 2018", "imat2018fashion", ("train", "val")),
+]
+
+
+def read_whole(spark: SparkSession, root: str, name: str, split: str) -> DataFrame:
+    """A published split of a dataset of ``WHOLE``: row_idx, features, label and whatever attributes the folder has."""
+    held = {n: (package, splits) for n, package, splits in WHOLE}
+    if name not in held or split not in held[name][1]:
+        raise ValueError(f"no such dataset or split: {name}, {split}")
+    return spark.read.parquet(f"{root}/{held[name][0]}/{split}")
+
+
+def attribute_tasks(df: DataFrame, levels: list[str], image: str = "row_idx") -> DataFrame:
+    """(level, task_id, image, labels): a task for each attribute of a dataset,
+    such as the order, family and genus of a species; labels are numbered in
+    order of the attribute's values, and rows without one are left out."""
+    out = None
+    for i, level in enumerate(levels):
+        values = df.filter(F.col(level).isNotNull()).select(F.col(level).alias("__v")).distinct()
+        # a row for each value of an attribute
+        numbered = values.withColumn("__n", (F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("__v")) - 1).cast("int"))
+        one = df.join(numbered, F.col(level) == F.col("__v")).select(F.lit(level).alias("level"), F.lit(i).alias("task_id"), F.col(image).alias("image"), F.array("__n").alias("labels"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no attribute is named")
+    return out
+
+
 #: Labels derived from the features of a package.
 DERIVED: dict[str, Callable[[], Column]] = {
     "closest_object": lambda: L.closest_object(F.transform("objects", lambda o: o["pixel_coords"][2])),
