@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..sources.readers import random_subset
 
 #: Seconds that a search counts for in comparisons.
@@ -57,14 +58,16 @@ def leep(outputs: DataFrame) -> DataFrame:
     """(model, leep): mean log of the expected empirical prediction.
 
     ``outputs``: (model, row, label, probs), the source model's class
-    probabilities for each row.  Two aggregations and a join on (model, label,
-    class); nothing is gathered.
+    probabilities for each row.  Sums for each (model, label, class) are made
+    where the rows are; the conditional probabilities, an array for each model
+    and label, then go to the rows.  No row is shuffled by its number.
     """
-    long = outputs.select("model", "row", "label", F.posexplode("probs").alias("z", "p"))
+    long = outputs.select("model", "label", F.posexplode("probs").alias("z", "p"))
     joint = long.groupBy("model", "label", "z").agg(F.sum("p").alias("j"))
     marginal = joint.groupBy("model", "z").agg(F.sum("j").alias("m"))
-    conditional = joint.join(marginal, ["model", "z"]).select("model", "label", "z", (F.col("j") / F.nullif("m", F.lit(0.0))).alias("c"))
-    expected = long.join(conditional, ["model", "label", "z"]).groupBy("model", "row").agg(F.sum(F.col("p") * F.col("c")).alias("e"))
+    conditional = joint.join(marginal, ["model", "z"]).select("model", "label", "z", F.coalesce(F.col("j") / F.nullif("m", F.lit(0.0)), F.lit(0.0)).alias("c"))
+    arrays = conditional.groupBy("model", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "c"))), lambda x: x["c"]).alias("c"))
+    expected = outputs.join(arrays, ["model", "label"]).select("model", V.dot(F.col("probs"), F.col("c")).alias("e"))
     return expected.groupBy("model").agg(F.avg(F.log("e")).alias("leep"))
 
 
