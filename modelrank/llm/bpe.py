@@ -29,13 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_text, open_file, put_file, scratch_path, stored, text_blocks
+from .common import collector_paused, dropped, map_text, open_file, put_file, scratch_path, stored, text_blocks
 from .pieces import BARE, UNCOMMON
 
 LEXICON_WORDS = 100_000
 #: Stretches, and words, whose ids a worker remembers before it forgets those met only once.
 MEMO = 250_000
 NONE = 1 << 60
+NO_RANK = (1 << 31) - 1
+#: Words of up to this many bytes are merged many at a time, this many of them.
+WIDEST, ROWS = 64, 16_384
 #: Fixed value: the words of the tokenizer's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -67,6 +70,64 @@ class Merger:
         for rank, (a, b) in enumerate(model["merges"]):
             self.ranks[vocab[a] << 24 | vocab[b]] = rank
             self.made.append(vocab[a + b])
+        # the same for many words at once: sorted pairs, and ranks of pairs of single bytes by place
+        self.pairs = np.array([*sorted(self.ranks), NONE], np.int64)
+        self.pair_ranks = np.array([*map(self.ranks.__getitem__, self.pairs[:-1].tolist()), NO_RANK], np.int32)
+        self.made_ids = np.array([*self.made, 0], np.int32)
+        self.single = np.array([self.inner, self.last], np.int32)  # inside a word, at its end
+        first = self.single[0].astype(np.int64)[:, None] << 24
+        self.first_ranks = np.stack([self._ranks(first | ids[None, :]) for ids in self.single])
+
+    def _ranks(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NO_RANK)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers: as ``merge``, one
+        merge in every word of about the same length at a time."""
+        out = [b""] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            n = len(w)
+            if n > WIDEST:
+                ids = self.merge(w)
+                out[i] = pack(f"<{len(ids)}i", *ids)
+            elif n:
+                groups.setdefault(-(-n // 4) * 4, []).append(i)
+        for width, held in groups.items():
+            for at in range(0, len(held), ROWS):
+                self._merge_group(words, held[at : at + ROWS], width, out)
+        return out
+
+    def _merge_group(self, words: list[bytes], held: list[int], width: int, out: list[bytes]) -> None:
+        rows = np.array(held)
+        data = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in held]), np.uint8).reshape(-1, width)
+        lengths = np.fromiter((len(words[i]) for i in held), np.int64, len(held))[:, None]
+        ends = (np.arange(width) == lengths - 1).astype(np.intp)
+        ids = np.where(np.arange(width) < lengths, self.single[ends, data], -1)
+        ranks = np.where(np.arange(1, width) < lengths, self.first_ranks[ends[:, 1:], data[:, :-1], data[:, 1:]], NO_RANK)
+        while True:
+            best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.intp)
+            rank = ranks[np.arange(len(rows)), best] if ranks.shape[1] else np.full(len(rows), NO_RANK)
+            more = rank < NO_RANK
+            if not more.all():
+                done = ids[~more]
+                there = done >= 0
+                flat, ends = done[there].astype("<i4").tobytes(), (4 * np.cumsum(there.sum(1))).tolist()
+                for i, a, b in zip(rows[~more].tolist(), [0, *ends], ends):
+                    out[i] = flat[a:b]
+                rows, ids, ranks, best, rank = rows[more], ids[more], ranks[more], best[more], rank[more]
+            if not len(rows):
+                return
+            n, each = len(rows), np.arange(len(rows))
+            ids[each, best] = self.made_ids[rank]
+            left = np.ones(ids.shape, bool)
+            left[each, best + 1] = False
+            ids = ids[left].reshape(n, -1)
+            ranks = ranks[left[:, 1:]].reshape(n, -1)
+            for i, here in ((best - 1, best > 0), (best, best < ranks.shape[1])):
+                r, i = each[here], i[here]
+                ranks[r, i] = self._ranks(ids[r, i].astype(np.int64) << 24 | ids[r, i + 1])
 
     def merge(self, word: bytes) -> list[int]:
         inner, get, made = self.inner, self.ranks.get, self.made
@@ -135,6 +196,8 @@ def cut(text: str, special: re.Pattern) -> list[str]:
 
 
 def words_in(stretch: str) -> list[str]:
+    if stretch.isascii() and stretch.isalpha():
+        return [stretch]
     return WORDS.findall(stretch) if UNCOMMON.search(stretch) else BARE.findall(stretch)
 
 
@@ -237,7 +300,7 @@ class Coder:
 
     def __init__(self, path: str, uri: str):
         self.merger, self.lexicon = merger(path), lexicon(uri)
-        self.held = self.lexicon.ids.astype("<i4")  # LEXICON_WORDS words' ids, converted once
+        self.held = self.lexicon.ids.astype("<i4").tobytes()  # LEXICON_WORDS words' ids, converted once
         self.special = special_pattern(self.merger.special)
         self.words: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
@@ -245,24 +308,36 @@ class Coder:
 
     def _look_up(self, words: list[str]) -> None:
         coded = [w.encode() for w in words]
-        held, offsets = self.held, self.lexicon.offsets
-        for word, raw, place in zip(words, coded, self.lexicon.places(coded).tolist()):
-            if place >= 0:
-                self.words[word] = held[offsets[place] : offsets[place + 1]].tobytes()
-            else:
-                ids = self.merger.merge(raw)
-                self.words[word] = pack(f"<{len(ids)}i", *ids)
+        held, places = self.held, self.lexicon.places(coded)
+        known = np.flatnonzero(places >= 0)
+        begins, ends = (4 * self.lexicon.offsets[places[known]]).tolist(), (4 * self.lexicon.offsets[places[known] + 1]).tolist()
+        self.words.update((words[i], held[a:b]) for i, a, b in zip(known.tolist(), begins, ends))
+        others = np.flatnonzero(places < 0).tolist()
+        self.words.update(zip([words[i] for i in others], self.merger.merge_all([coded[i] for i in others])))
 
     def _learn(self, stretches: list[str]) -> None:
-        plain = [(s, words_in(s)) for s in stretches if s[0] != " "]
-        self.memo.update((s, pack("<i", self.merger.special[s[1:]])) for s in stretches if s[0] == " ")
+        alone, others = [], []
+        for s in stretches:
+            if s.isascii() and s.isalpha():
+                alone.append(s)
+            elif s[0] == " ":
+                self.memo[s] = pack("<i", self.merger.special[s[1:]])
+            else:
+                others.append((s, words_in(s)))
         if len(self.words) > MEMO:
             self.words = {}
-        self._look_up(list({w for _, held in plain for w in held if w not in self.words}))
-        words = self.words
-        self.memo.update((s, words[held[0]] if len(held) == 1 else b"".join([words[w] for w in held])) for s, held in plain)
+        new = {w for w in alone if w not in self.words}
+        new.update(w for _, held in others for w in held if w not in self.words)
+        self._look_up(list(new))
+        get = self.words.__getitem__
+        self.memo.update(zip(alone, map(get, alone)))
+        self.memo.update((s, b"".join(map(get, held))) for s, held in others)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        with collector_paused():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         docs = [cut(t or "", self.special) for t in texts]
         distinct: set[str] = set().union(*docs)
         if len(self.memo) + len(distinct) > MEMO:
@@ -286,14 +361,15 @@ def word_counts(df: DataFrame, text: str, tokenizer: str) -> DataFrame:
     def run(batches):
         special = special_pattern(merger(tokenizer).special)
         for batch in text_blocks(batches, "__text", 8 << 20):
-            seen: Counter = Counter()
-            for t in batch.column("__text").to_pylist():
-                seen.update(cut(t or "", special))
-            words: Counter = Counter()
-            for stretch, n in seen.items():
-                if stretch[0] != " ":
-                    for w in words_in(stretch):
-                        words[w] += n
+            with collector_paused():
+                seen: Counter = Counter()
+                for t in batch.column("__text").to_pylist():
+                    seen.update(cut(t or "", special))
+                words: dict[str, int] = {}
+                for stretch, n in seen.items():
+                    if stretch[0] != " ":
+                        for w in words_in(stretch):
+                            words[w] = words.get(w, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     return df.select(F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -312,8 +388,9 @@ def build_lexicon(df: DataFrame, text: str, tokenizer: str, words: int = LEXICON
             break
         least = r.bin
     top = counts.filter(F.col("bin") >= least).select("word").collect() if least is not None else []
-    merge = merger(tokenizer).merge
-    uri = put_file(scratch_path(df.sparkSession, "lexicon") + "/words.bin", compile_lexicon({r.word.encode(): merge(r.word.encode()) for r in top}))
+    coded = [r.word.encode() for r in top]
+    ids = [np.frombuffer(x, "<i4").tolist() for x in merger(tokenizer).merge_all(coded)]
+    uri = put_file(scratch_path(df.sparkSession, "lexicon") + "/words.bin", compile_lexicon(dict(zip(coded, ids))))
     dropped(counts)
     return uri
 

@@ -8,6 +8,7 @@ locally.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -128,6 +129,18 @@ def open_file(uri: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
 
 
+@contextmanager
+def collector_paused() -> Iterator[None]:
+    """No search for cycles among millions of small strings and lists that can have none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose sizes add up to about ``limit``."""
     start = total = 0

@@ -263,6 +263,15 @@ def test_lexicon_is_minimal_and_finds_its_words():
         assert len(bpe.Lexicon(f.name).finals) <= 13  # endings are shared
 
 
+def test_bpe_merges_many_words_as_it_merges_one():
+    merger, rng = bpe.merger(WORD_BPE), random.Random(8)
+    words = [bytes([b]) * n for b in range(256) for n in (1, 2, 3, 4, 5, bpe.WIDEST, bpe.WIDEST + 1)]
+    words += [bytes(rng.choice(b"aabcdeehilnorst'0.\xc3\xa9\x00\xff") for _ in range(rng.randint(1, 80))) for _ in range(20_000)]
+    words += words[-50:] + [b""]  # repeats, and a word without bytes
+    assert [np.frombuffer(x, "<i4").tolist() for x in merger.merge_all(words)] == [merger.merge(w) if w else [] for w in words]
+    assert merger.merge_all([]) == []
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
