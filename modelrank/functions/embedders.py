@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -62,9 +63,12 @@ def register(embedder: VectorEmbedder) -> None:
 
 def described(model: str) -> str:
     """What an embedder computes, as text: the same for equal expressions, whatever their lambdas are numbered."""
-    if model not in REGISTRY:
-        return model
-    return re.sub(r"_[0-9]+", "", str(REGISTRY[model].expression(F.col("embed"))))
+    return _text(REGISTRY[model]) if model in REGISTRY else model
+
+
+@lru_cache(maxsize=4096)
+def _text(embedder: VectorEmbedder) -> str:
+    return re.sub(r"_[0-9]+", "", str(embedder.expression(F.col("embed"))))
 
 
 def check_types(reader_type: str, model_type: str) -> None:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row: inside a lambda it
+    would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -28,7 +36,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector becomes nulls, which no distance counts."""
-    return F.transform(v, lambda x: x / F.nullif(norm(v), F.lit(0.0)))
+    return let(F.nullif(norm(v), F.lit(0.0)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def prefix(v: Column, n: int) -> Column:
@@ -51,15 +59,14 @@ def mean(v: Column) -> Column:
 
 def softmax(v: Column) -> Column:
     powers = F.transform(v, lambda x: F.exp(x))
-    whole = total(powers)
-    return F.transform(powers, lambda x: x / whole)
+    return let(powers, lambda p: let(total(p), lambda whole: F.transform(p, lambda x: x / whole)))
 
 
 def masked_mean(vectors: Column, mask: Column, width: int) -> Column:
     """Mean over the vectors whose mask is 1; without any, zeros (divided by 1)."""
     kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda p: p["m"] == 1), lambda p: p["v"])
-    n = F.greatest(F.size(kept), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(kept, F.lit(0.0), lambda a, v: a + F.get(v, i)) / n)
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    return let(kept, lambda k: F.transform(places, lambda i: F.aggregate(k, F.lit(0.0), lambda a, v: a + F.get(v, i)) / F.greatest(F.size(k), F.lit(1))))
 
 
 def multi_hot(labels: Column, universe: Column) -> Column:

@@ -34,8 +34,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def _centred(v: Column) -> Column:
-    middle = V.mean(v)
-    return F.transform(v, lambda x: x - middle)
+    return V.let(V.mean(v), lambda middle: F.transform(v, lambda x: x - middle))
 
 
 def _correlation(a: Column, b: Column) -> Column:
