@@ -4,6 +4,9 @@ Every round is two aggregations and two joins whose outputs have no more rows
 than the links have.  Rounds grow with the logarithm of the graph, and each
 round's links are written to the shared folder, so lineage stays short and
 nothing but two sums reaches the driver.
+
+A node may have a good part of all links.  Joins on nodes go through
+``spread_join``, which never brings the rows of such a node into one task.
 """
 
 from __future__ import annotations
@@ -13,18 +16,36 @@ from pyspark.sql import functions as F
 
 from .common import dropped, stored
 
+#: A key is hot with over ``HOT_ROWS`` rows and over 1/``HOT_SHARE`` of all, so there are fewer than ``HOT_SHARE`` of them.
+HOT_ROWS, HOT_SHARE = 10_000, 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, degree: str, total: int) -> DataFrame:
+    """``rows`` joined to a table that has one row for each key and, in ``degree``,
+    how many rows have that key; ``total`` is their sum, or more.
+
+    The fewer than ``HOT_SHARE`` table rows of hot keys are broadcast, so their
+    rows stay where they are; only the others are shuffled.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    if total <= limit:  # no key can be hot
+        return rows.join(table.drop(degree), key)
+    hot = table.filter(F.col(degree) > limit).drop(degree)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(table.filter(F.col(degree) <= limit).drop(degree), key))
+
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours, linked to the least node around it."""
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+    return spread_join(both.filter("v > u"), least, "u", "degree", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours, linked to the least of them; u > v in and out."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    rest = links.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    rest = spread_join(links, least, "u", "degree", n).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +60,10 @@ def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, old = mark, now
-        now = stored(_small_star(_large_star(now)), "links")
-        dropped(old)
+        before, n = mark, mark[0]
+        large = _large_star(now, n)
+        if n > HOT_ROWS:  # read several times
+            large = stored(large, "links")
+        old, now = now, stored(_small_star(large, n), "links")
+        dropped(old, large)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

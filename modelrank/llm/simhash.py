@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, map_text, stored
-from .components import connected_components
+from .components import connected_components, spread_join
 
 SEED = 42
 BYTES = 8
@@ -183,12 +183,16 @@ def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return out
 
 
-def _components(docs: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint of docs (__key, fp)."""
-    fps = stored(docs.groupBy("fp").agg(F.min("__key").alias("first")), "distinct-fingerprints")
+def _with_components(docs: DataFrame) -> DataFrame:
+    """docs (__key, fp) with the root and component_id of every row's fingerprint."""
+    fps = stored(docs.groupBy("fp").agg(F.min("__key").alias("first"), F.count("*").alias("copies")), "distinct-fingerprints")
     roots = connected_components(fingerprint_links(fps.select("fp")))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    n, total = fps.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    rooted = stored(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+    found = stored(spread_join(rooted, least, "root", "size", n).select("fp", "root", "component_id", "copies"), "fingerprint-components")
+    dropped(fps, rooted)
+    return spread_join(docs, found, "fp", "copies", total)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
@@ -201,7 +205,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     """
     held = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__words"))
     docs = stored(fingerprints(held, "__words", ("__key",), size), "fingerprints")
-    return docs.join(_components(docs).drop("root"), "fp").select(F.col("__key").alias(key), "fp", "component_id")
+    return _with_components(docs).select(F.col("__key").alias(key), "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
@@ -212,7 +216,7 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id",
     full = stored(fingerprints(full, "__words", tuple(df.columns), size, fp), "fingerprinted")
     docs = full.select(F.col(f"`{key}`").alias("__key"), F.col(fp).alias("fp"))
     full = full.alias("full")
-    chosen = docs.join(_components(docs), "fp").filter(F.col("__key").eqNullSafe(F.col("component_id")))
+    chosen = _with_components(docs).filter(F.col("__key").eqNullSafe(F.col("component_id")))
     chosen = stored(chosen.groupBy("root").agg(F.min("fp").alias("c_fp"), F.first("component_id").alias("c_key")).select("c_fp", "c_key"), "chosen")
     out = full.join(chosen, (F.col(f"full.{fp}") == F.col("c_fp")) & F.col(f"full.`{key}`").eqNullSafe(F.col("c_key")), "left_semi")
     held = docs.join(chosen, (F.col("fp") == F.col("c_fp")) & F.col("__key").eqNullSafe(F.col("c_key")), "left_semi")
