@@ -260,4 +260,4 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     joined = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",") for c in ("base", "spans")}
     # a lambda with two parameters would get the place as the second one
     counts = [F.size(F.filter(F.col("base")["kind"], lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
-    return out.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+    return out.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
