@@ -125,35 +125,6 @@ def test_components_of_a_long_chain(spark):
     assert components.connected_components(links.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rows, share", [(0, 3), (4, 50), (10_000, 10_000)])
-def test_components_with_hubs(spark, rows, share, monkeypatch):
-    """Nodes with a good part of all links, hot or not by the bounds in force."""
-    monkeypatch.setattr(components, "HOT_ROWS", rows)
-    monkeypatch.setattr(components, "HOT_SHARE", share)
-    rng = random.Random(rows)
-    pairs = [(500, i) for i in range(300, 340)] + [(7, i) for i in range(340, 360)] + [(i, i + 1) for i in range(600, 612)] + [(rng.randrange(700, 760), rng.randrange(700, 760)) for _ in range(40)] + [(339, 600)]
-    nodes = sorted({x for p in pairs if p[0] != p[1] for x in p})
-    least = {x: x for x in nodes}
-    for _ in nodes:
-        for a, b in pairs:
-            if a != b:
-                least[a] = least[b] = min(least[a], least[b])
-    out = {x: x for x in nodes} | {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
-    assert out == least
-
-
-def test_simhash_of_hot_copies(spark, monkeypatch):
-    """A third of all rows with one text: the same rows whether their key counts as hot or not."""
-    texts = ["the same words again and again"] * 40 + [f"text number {i} of its own kind {i * i}" for i in range(50)] + [None, ""] * 5
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    plain = sorted(map(tuple, simhash.near_duplicates(df).collect()))
-    kept = sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=repr)
-    monkeypatch.setattr(components, "HOT_ROWS", 1)
-    monkeypatch.setattr(components, "HOT_SHARE", 4)
-    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == plain and len(plain) == len(texts)
-    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=repr) == kept
-
-
 def test_one_row_of_each_component_stays(spark):
     same = "alpha beta gamma delta " * 40
     ids = [None, None, 5, 5, 3, 9]
