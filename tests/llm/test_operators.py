@@ -1,8 +1,11 @@
 """Every operator against a plain version, on awkward inputs."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -357,6 +360,47 @@ def test_repeated_query_rows(spark):
     assert [r.vec_id for r in out] == [i for i, _ in plain_nearest(rows)[0]] and [r.vec_id for r in out][:2] == [5, 6]
 
 
+SMALL_DRIVER = """
+import numpy as np
+from pyspark.sql import SparkSession
+from modelrank.llm import ann
+
+spark = SparkSession.builder.master("local[2]").config("spark.driver.maxResultSize", "4m").config("spark.sql.autoBroadcastJoinThreshold", "256k").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+flat = np.random.default_rng(3).normal(size=(12_000, 4))
+df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(flat)], "vec_id long, embedding array<double>")
+print("rows", ann.nearest(df, df).count())
+"""
+
+
+def test_visited_cells_stay_off_the_driver():
+    """12 000 queries visit most of 225 cells: a list of them would take over 7 MB, the driver may get 4 MB."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-B", "-c", SMALL_DRIVER], cwd=repo, capture_output=True, text=True, timeout=300)
+    assert "rows 60000" in said.stdout, said.stderr[-2000:]
+
+
+def test_floats_near_ties_and_odd_widths(spark):
+    """Float columns keep to exact doubles; vectors that single precision can't tell apart are ranked by double; queries of another width take no part."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 1e-9 * rng.normal(size=8)).tolist()) for i in range(120)] + [(i, rng.normal(size=8).tolist()) for i in range(120, 200)]
+    rows += [(200, [0.0, 1.0] + [0.0] * 6), (201, [-0.0, 1.0] + [-0.0] * 6), (202, [0.0, 2.0] + [0.0] * 6)]
+    df, out = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    for r in ann.nearest(df, df, share=2.0).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = plain_nearest(rows, every=1)
+    assert set(out) == set(want)
+    for q, x in want.items():
+        assert [s for _, s in out[q]] == pytest.approx([s for _, s in x[:5]], abs=1e-15)
+    assert [i for i, _ in out[200]][:2] == [201, 202] and [i for i, _ in out[202]][:2] == [200, 201]
+    floats = vectors(spark, rows)
+    doubles = floats.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    a, b = (ann.nearest(x, x, share=2.0).orderBy("query_id", "rank").collect() for x in (floats, doubles))
+    assert a == b
+    odd = vectors(spark, [(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), rows[150]])
+    assert {r.query_id for r in ann.nearest(floats, odd, share=2.0).collect()} == {150}
+
+
 # ------------------------------------------------------------ substring dedup
 
 
